@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import table
+from tabulore.llm.common import is_held_out, table
 from tabulore.llm.exact_dedup import narrow_dedup
+from tabulore.llm.language_id import language_id, train
+from tabulore.llm.packing import pack
+from tabulore.llm.token_file import read_tokens, token_folder, write_tokens
 from tabulore.llm.url_filter import url_filter
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -25,11 +30,27 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(~is_held_out(F.col("doc_id"))))
+    out = language_id(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    manifest = write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, token_folder(spark))
+    return read_tokens(spark, manifest)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = narrow_dedup(table(spark, sf_dir, "documents"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
