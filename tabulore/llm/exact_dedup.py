@@ -46,7 +46,9 @@ def narrow_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def heavy_winners(found: DataFrame) -> DataFrame:
     """digest, keep, group_size of every digest that at least one row in FREQUENT_ONE_IN has."""
     total = found.count()
-    candidates = found.select("digest").freqItems(["digest"], 1 / FREQUENT_ONE_IN).select(F.explode("digest_freqItems").alias("digest"))
+    # the summary compares its keys as objects, which byte arrays don't allow
+    named = found.select(F.hex("digest").alias("name")).freqItems(["name"], 1 / FREQUENT_ONE_IN)
+    candidates = named.select(F.explode("name_freqItems").alias("name")).distinct().select(F.unhex("name").alias("digest"))
     counted = found.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.min("rank").alias("keep"), F.count("*").alias("group_size"))
     return counted.filter(F.col("group_size") >= max(2, total // FREQUENT_ONE_IN))
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tabulore.llm.common import is_held_out, table
 from tabulore.llm.exact_dedup import narrow_dedup
-from tabulore.llm.language_id import language_id, train
+from tabulore.llm import language_id, quality
+from tabulore.llm.mixing import mix
 from tabulore.llm.packing import pack
+from tabulore.llm.simhash import simhash_groups
 from tabulore.llm.token_file import read_tokens, token_folder, write_tokens
 from tabulore.llm.url_filter import url_filter
 
@@ -30,13 +32,25 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train(docs.filter(~is_held_out(F.col("doc_id"))))
-    out = language_id(docs.select("doc_id", "text"), model)
+    model = language_id.train(docs.filter(~is_held_out(F.col("doc_id"))))
+    out = language_id.language_id(docs.select("doc_id", "text"), model)
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(~is_held_out(F.col("doc_id"))))
+    scored = quality.quality(docs, model)
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     manifest = write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, token_folder(spark))
     return read_tokens(spark, manifest)
@@ -47,6 +61,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
 
