@@ -9,10 +9,12 @@ once by the tokenizers library's model. A tokenizer of another kind encodes whol
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ import regex
 PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+END = "\n"
 BLANK_AFTER_SPACE, CUT = re.compile(r"\s "), re.compile(r"(?<=\S) ")
 _encoders: dict[str, Encoder] = {}
 
@@ -79,70 +82,96 @@ class Encoder:
         self.by_piece = parts.get("normalizer") is None and parts["model"]["type"] == "BPE" and all(pre.get(k) == v for k, v in PRE_TOKENIZER.items())
         self.most_pieces = most_pieces
         self.characters = byte_characters()
-        self._clear()
+        if self.by_piece:
+            self._clear()
 
     def _clear(self) -> None:
-        self.piece_at: dict[str, int] = {}  # of a piece, with its blank
+        self.after_blank: dict[str, int] = {}  # places of pieces, without the blank before them
+        self.at_start: dict[str, int] = {}  # of pieces that begin a text
         self.pieces = Ids()
-        self.pretoken_at: dict[str, int] = {}
         self.pretokens = Ids()
+        end = [t.id for t in self.library.model.tokenize(self._spelled(END))]
+        self.pretokens.add(np.array(end, dtype=np.uint32), np.array([0, len(end)]))  # the place 0 has no ids
+        self.pretoken_at = {END: 1}
+
+    def _spelled(self, pretoken: str) -> str:
+        """With a character for each byte; visible ASCII is as it is."""
+        if pretoken.isascii() and pretoken.isprintable():
+            return pretoken.replace(" ", self.characters[32])
+        return pretoken.encode().decode("latin-1").translate(self.characters)
 
     def _pretoken_codes(self, found: list[str]) -> np.ndarray:
-        codes = list(map(self.pretoken_at.get, found))
-        if None in codes:
-            new = list(dict.fromkeys(f for f, c in zip(found, codes) if c is None))
-            one = self.library.model.tokenize
-            ids = [[t.id for t in one(f.encode().decode("latin-1").translate(self.characters))] for f in new]
-            self.pretoken_at.update(zip(new, range(len(self.pretoken_at), len(self.pretoken_at) + len(new))))
-            self.pretokens.add(np.fromiter((x for y in ids for x in y), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-            codes = list(map(self.pretoken_at.get, found))
-        return np.array(codes, dtype=np.int64)
-
-    def _piece_codes(self, keys: list[str]) -> np.ndarray:
-        codes = list(map(self.piece_at.get, keys))
-        if None in codes:
-            new = list(dict.fromkeys(k for k, c in zip(keys, codes) if c is None))
-            # a line feed between something and one blank is a pretoken by itself, so it can stand between simple pieces
-            simple = [k for k in new if k[:1] == " " and "\n" not in k and not k[1:2].isspace() and not k[-1:].isspace()]
-            taken = set(simple)
-            order = simple + [k for k in new if k not in taken]
-            met = PRETOKEN.findall("\n".join(simple))
-            stops = [i for i, f in enumerate(met) if f == "\n"] + [len(met)] if simple else []
-            other = [PRETOKEN.findall(k) for k in order[len(simple) :]]
-            counts = np.diff(np.array([-1, *stops])) - 1 if simple else np.zeros(0, dtype=np.int64)
-            counts = np.concatenate([counts, np.fromiter(map(len, other), dtype=np.int64, count=len(other))])
-            flat, n_ids = self.pretokens_of([f for f in met if f != "\n"] + [f for o in other for f in o])
-            ends = np.concatenate([[0], np.cumsum(n_ids)])
-            bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        codes = np.array(list(map(self.pretoken_at.get, found, repeat(-1))), dtype=np.int64)
+        missed = np.flatnonzero(codes < 0).tolist()
+        if missed:
+            again = [found[i] for i in missed]
+            new = list(dict.fromkeys(again))
+            one, spelled = self.library.model.tokenize, self._spelled
+            ids = [[t.id for t in one(spelled(f))] for f in new]
+            self.pretoken_at.update(zip(new, range(self.pretokens.n, self.pretokens.n + len(new))))
+            self.pretokens.add(np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            codes[missed] = list(map(self.pretoken_at.__getitem__, again))
+        return codes
+
+    def _piece_codes(self, place: dict[str, int], keys: list[str], before: str) -> np.ndarray:
+        """Places of the pieces `before + key`. Keys that miss may repeat."""
+        codes = np.array(list(map(place.get, keys, repeat(-1))), dtype=np.int64)
+        missed = np.flatnonzero(codes < 0).tolist()
+        if missed:
+            again = [keys[i] for i in missed]
+            new = list(dict.fromkeys(again))
+            # END between something and one blank is a pretoken by itself, so it can stand between such pieces
+            plain = [k[:1] > " " and END not in k and k[:1].isprintable() and not k[-1:].isspace() for k in new] if before else [False] * len(new)
+            new = [*compress(new, plain), *(k for k, p in zip(new, plain) if not p)]
+            n = sum(plain)
+            met = PRETOKEN.findall(before + (END + before).join(new[:n])) if n else []
+            counts = None
+            if n < len(new):
+                other = [PRETOKEN.findall(before + k) for k in new[n:]]
+                counts = np.fromiter(map(len, other), dtype=np.int64, count=len(other))
+            coded = self._pretoken_codes(met)
+            coded[coded == 1] = 0
+            stops = np.append(np.flatnonzero(coded == 0), len(coded)) if n else np.zeros(0, dtype=np.int64)
+            bounds = np.append(0, stops)
+            if counts is not None:
+                coded = np.concatenate([coded, self._pretoken_codes([f for o in other for f in o])])
+                bounds = np.append(bounds, bounds[-1] + np.cumsum(counts))
+            flat, n_ids = self.pretokens.of(coded)
+            ends = np.append(0, np.cumsum(n_ids))
+            place.update(zip(new, range(self.pieces.n, self.pieces.n + len(new))))
             self.pieces.add(flat, np.diff(ends[bounds]))
-            self.piece_at.update(zip(order, range(len(self.piece_at), len(self.piece_at) + len(order))))
-            codes = list(map(self.piece_at.get, keys))
-        return np.array(codes, dtype=np.int64)
-
-    def pretokens_of(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        codes = self._pretoken_codes(found)  # before of(), which it may move
-        return self.pretokens.of(codes)
+            codes[missed] = list(map(place.__getitem__, again))
+        return codes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of each text's ids."""
+        was = gc.isenabled()
+        gc.disable()  # millions of small lists, none of them in a cycle, would be searched again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         if not self.by_piece:
             ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             return np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(lengths.sum())), lengths
-        if len(self.piece_at) > self.most_pieces or len(self.pretoken_at) > self.most_pieces:
+        if max(len(self.after_blank), len(self.at_start), len(self.pretoken_at)) > self.most_pieces:
             self._clear()
         odd = {i: CUT.split(t) for i, t in enumerate(texts) if BLANK_AFTER_SPACE.search(t)}
         lists = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], type=pa.large_string()), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         at, firsts = coded.indices.to_numpy().astype(np.int64), offsets[:-1]
-        known = self._piece_codes([f" {w}" for w in coded.dictionary.to_pylist()])[at]
-        known[firsts] = self._piece_codes([odd[i][0] if i in odd else t.partition(" ")[0] for i, t in enumerate(texts)])
+        known = self._piece_codes(self.after_blank, coded.dictionary.to_pylist(), " ")[at]
+        known[firsts] = self._piece_codes(self.at_start, [odd[i][0] if i in odd else t.partition(" ")[0] for i, t in enumerate(texts)], "")
         n_pieces = np.diff(offsets)
         if odd:  # the rest of their pieces stands behind their first
-            rest = self._piece_codes([f" {p}" for i in odd for p in odd[i][1:]])
+            rest = self._piece_codes(self.after_blank, [p for i in odd for p in odd[i][1:]], " ")
             more = np.array([len(odd[i]) - 1 for i in odd], dtype=np.int64)
             known = np.insert(known, np.repeat(firsts[list(odd)] + 1, more), rest)
             n_pieces[list(odd)] += more
@@ -150,7 +179,7 @@ class Encoder:
         return ids, np.add.reduceat(length, np.cumsum(n_pieces) - n_pieces)
 
 
-def batched(texts: list[str], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def batched(texts: list[str], chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about so many code points at most, one text at least."""
     lo = total = 0
     for i, t in enumerate(texts):
