@@ -1,7 +1,71 @@
-"""The corpus pipeline."""
-STAGES: list = []
+"""A corpus pipeline over `documents`: language ID, exact dedup, SimHash near-dedup, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulore.llm import language_id
+from tabulore.llm.common import is_held_out, shared_dir, table
+from tabulore.llm.exact_dedup import exact_dedup
+from tabulore.llm.mixing import mix
+from tabulore.llm.packing import pack
+from tabulore.llm.queries import TOKENIZER
+from tabulore.llm.simhash import simhash_groups
+
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no determined language, or of one that is less likely than not, go; lang becomes the predicted one."""
+    model = language_id.train(docs.filter(~is_held_out(F.col("doc_id"))))
+    said = language_id.language_id(docs, model).filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return said.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return exact_dedup(docs).filter("kept").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest id stays; rows without an id stay."""
+    dropped = simhash_groups(docs.select("doc_id", "text")).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it. Ids are those of documents: rows that repeat one get its copies alike."""
+    copies = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return pack(docs.select("doc_id", "text"), TOKENIZER)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: SQL can express neither the learned model nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over documents, each but the last written to the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
