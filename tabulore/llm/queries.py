@@ -15,6 +15,7 @@ from tabulore.llm import language_id, quality
 from tabulore.llm.mixing import mix
 from tabulore.llm.packing import pack
 from tabulore.llm.simhash import simhash_groups
+from tabulore.llm.suffix_dedup import suffix_dedup
 from tabulore.llm.token_file import read_tokens, token_folder, write_tokens
 from tabulore.llm.url_filter import url_filter
 
@@ -62,6 +63,10 @@ def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER)
     return read_tokens(spark, manifest)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = narrow_dedup(table(spark, sf_dir, "documents"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
