@@ -1 +1 @@
-
+"""Column expressions and text rules of the type heuristics."""

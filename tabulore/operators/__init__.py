@@ -1 +1 @@
-
+"""The leaf relation and the aggregations over it."""

@@ -1 +1 @@
-
+"""Empty: nothing that is profiled here is a stream."""
