@@ -7,8 +7,9 @@ classes in the order of their strings, so sorting by any name of a string does.
 1. Anchors. The k-mer with the least hash in a window of LENGTH bytes is the window's anchor, wherever the window
    stands; neighbouring windows share one, which so owns a run of windows. An anchor's own stretch, from the first byte of
    its first window to the last of its last, is named by a hash, and Spark sorts (k-mer, stretch, position). Of equal
-   stretches all but the first are repeats. A k-mer with one kind of stretch is unique: its windows occur nowhere else.
-   What is left are the first stretches of k-mers with several kinds, where repeats begin and end.
+   stretches all but the first are repeats. What is left are the first stretches of each kind. A window holds the KMER
+   bytes before or behind its anchor's k-mer as well; where no other kind of stretch of the k-mer shares those, its windows
+   occur nowhere else. So only where repeats begin and end windows stay open.
 2. Doubling. The windows of those are ranked by their first half: Spark groups (name of half, position) pairs, unique
    positions go, the others are ranked again by (rank, name of the half one offset further), which is past the threshold.
    A window whose class begins earlier is a repeat.
@@ -36,9 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import cut, lookup, shared_dir
+from tabulore.llm.common import cut, lookup, shared_dir, written
 
 LENGTH, KMER = 100, 32
+#: A window whose anchor is so far in holds the KMER bytes before it, another those behind it.
+HALFWAY = (LENGTH - KMER) // 2
 ID_BITS, BYTE_BITS = 35, 28
 SALT_FROM, SALTS, AT_ONCE = 64, 1024, 1 << 20
 #: Windows of a text that are looked at in one go; positions fit into the low bits that the least k-mer is found by.
@@ -59,10 +62,11 @@ def kmers(data: bytes) -> np.ndarray:
     return held
 
 
-def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, and k-mer of each anchor's run of windows."""
+def stretches(data: bytes) -> tuple[np.ndarray, ...]:
+    """Of each anchor's run of windows: the first, their number, the k-mer, and its distance from the first; 32 bits of the
+    hashes of the bytes before the k-mer and behind it, 0 where no window of the run holds them for sure."""
     windows = len(data) - LENGTH + 1
-    starts, counts, marks = [], [], []
+    parts = []
     for lo in range(0, max(0, windows), REACH):
         n = min(REACH, windows - lo)
         hashed = kmers(data[lo : lo + n + LENGTH - 1])
@@ -75,33 +79,38 @@ def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.minimum(least[: len(least) - rest], least[rest:])
         at = (least & _LOW).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        starts.append(first + lo)
-        counts.append(np.diff(np.append(first, n)))
-        marks.append(hashed[at[first]])
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(starts), np.concatenate(counts), np.concatenate(marks)) if starts else (none, none, none.astype(np.uint64))
+        count, anchor = np.diff(np.append(first, n)), at[first]
+        lead = anchor - first
+        ends = (hashed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        left = np.where(lead >= HALFWAY, ends[np.maximum(anchor - KMER, 0)] | 1, 0)
+        right = np.where(lead - count + 1 < HALFWAY, ends[np.minimum(anchor + KMER, len(ends) - 1)] | 1, 0)
+        parts.append((first + lo, count, hashed[anchor], lead, left, right))
+    if not parts:
+        parts = [(np.zeros(0, dtype=np.int64),) * 6]
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-SHUFFLED = pa.schema([("kmer", pa.int64()), ("salt", pa.int32()), ("stretch", pa.int64()), ("pos", pa.int64()), ("n", pa.int32())])
-RESOLVED, MARK = -1, 0  # salt of a repeat that a task has found, n of a mark
+SHUFFLED = pa.schema([("kmer", pa.int64()), ("salt", pa.int32()), ("stretch", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
+SHUFFLED_SQL = "kmer long, salt int, stretch long, pos long, size int, left int, right int"
+#: The salt of a repeat that a task has found, and the size of a mark; a size holds the windows and the lead.
+RESOLVED, MARK = -1, 0
 
 
-def combined(kmer: np.ndarray, stretch: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def combined(kmer: np.ndarray, stretch: np.ndarray, pos: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
     """A task's rows: the first of equal stretches to be sorted, the others resolved; k-mers of many kinds salted."""
     order = np.lexsort((pos, stretch, kmer))
-    kmer, stretch, pos, n = kmer[order], stretch[order], pos[order], n[order]
-    other = np.append(True, kmer[1:] != kmer[:-1]) if len(kmer) else np.zeros(0, dtype=bool)
-    first = other | np.append(True, stretch[1:] != stretch[:-1]) if len(kmer) else other
+    kmer, stretch, pos, *rest = (x[order] for x in (kmer, stretch, pos, *rest))
+    other = np.append(True, kmer[1:] != kmer[:-1])[: len(kmer)]
+    first = other | np.append(True, stretch[1:] != stretch[:-1])[: len(kmer)]
     group = np.cumsum(other) - 1
-    kinds = np.bincount(group, weights=first).astype(np.int64) if len(kmer) else np.zeros(0, dtype=np.int64)
-    many = (kinds > SALT_FROM)[group]
+    many = (np.bincount(group, weights=first) > SALT_FROM)[group]
     salt = np.where(first, np.where(many, 1 + (stretch % np.uint64(SALTS)).astype(np.int64), 0), RESOLVED).astype(np.int32)
     # what is resolved goes along evenly
     key = np.where(first, kmer, pos.astype(np.uint64) * _MIX[0])
     marks = kmer[other & many]
-    zeros = np.zeros(len(marks), dtype=np.int64)
-    columns = [np.append(key, marks).view(np.int64), np.append(salt, zeros.astype(np.int32)), np.append(stretch, zeros.astype(np.uint64)).view(np.int64), np.append(pos, zeros), np.append(n, zeros + MARK).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SHUFFLED)
+    columns = [key, salt, stretch, pos, *rest]
+    columns = [np.append(c, marks if i == 0 else np.zeros(len(marks), dtype=c.dtype)) for i, c in enumerate(columns)]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(f.type) for c, f in zip(columns, SHUFFLED)], schema=SHUFFLED)
 
 
 def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +121,11 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.encode("utf-8", "surrogatepass")
             if len(data) >= 1 << BYTE_BITS:
                 raise ValueError(f"a text of {len(data)} bytes; the limit is {1 << BYTE_BITS}")
-            start, n, kmer = stretches(data)
+            start, n, kmer, lead, left, right = stretches(data)
+            if not len(start):
+                continue
             name = np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + m]) for a, m in zip(start.tolist(), (n + LENGTH - 1).tolist())), dtype=np.uint64, count=len(start))
-            held.append((kmer, name, (doc << BYTE_BITS) + start, n))
+            held.append((kmer, name, (doc << BYTE_BITS) + start, (n << 8) | lead, left, right))
             size += len(start)
             if size >= AT_ONCE:
                 yield combined(*(np.concatenate(x) for x in zip(*held)))
@@ -123,22 +134,36 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield combined(*(np.concatenate(x) for x in zip(*held)))
 
 
+def shared(group: np.ndarray, name: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of the rows `of` have a name that another of them has in the same group."""
+    out = np.zeros(len(name), dtype=bool)
+    _, which, times = np.unique(group[of] << 32 | (name[of].astype(np.int64) & 0xFFFFFFFF), return_inverse=True, return_counts=True)
+    out[of] = times[which] > 1
+    return out & (name != 0)
+
+
 def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by k-mer, salt, stretch, position to runs of windows (pos, n, repeat): those of repeats, and open ones."""
-    left: list[pa.RecordBatch] = []
+    left_over: list[pa.RecordBatch] = []
 
     def judge(table: pa.Table) -> pa.RecordBatch:
-        kmer, salt, stretch, pos, n = (c.to_numpy() for c in table.columns)
+        kmer, salt, stretch, pos, size, left, right = (c.to_numpy() for c in table.columns)
+        n, lead = (size >> 8).astype(np.int64), (size & 255).astype(np.int64)
         other = np.append(True, (kmer[1:] != kmer[:-1]) | (salt[1:] != salt[:-1]))
         kind = other | np.append(True, stretch[1:] != stretch[:-1])
         group = np.cumsum(other) - 1
-        real = n > MARK
-        several = (np.bincount(group, weights=kind & real) > 1) | (np.bincount(group, weights=~real) > 0) | (salt[np.flatnonzero(other)] > 0)
+        real = size != MARK
         # a mark sorts among stretches named 0; the first real row of a kind stands behind it
-        first = kind | np.append(False, ~real[:-1])
-        repeat = real & ((salt == RESOLVED) | ~first)
-        out = repeat | (real & first & several[group] & (salt != RESOLVED))
-        return pa.RecordBatch.from_arrays([pa.array(pos[out]), pa.array(n[out]), pa.array(repeat[out])], names=["pos", "n", "repeat"])
+        first = real & (salt != RESOLVED) & (kind | np.append(False, ~real[:-1]))
+        repeat = real & ~first
+        # with a salt or a mark, other kinds are elsewhere
+        unsure = ((salt > 0) | (np.bincount(group, weights=~real) > 0)[group]) & first
+        before = (shared(group, left, first) | (unsure & (left != 0))) & first
+        behind = (shared(group, right, first) | (unsure & (right != 0))) & first
+        skip = np.maximum(lead - HALFWAY + 1, 0)
+        runs = [(pos[repeat], n[repeat], True), (pos[before], np.minimum(n, skip)[before], False), ((pos + skip)[behind], (n - skip)[behind], False)]
+        columns = [np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]).astype(np.int32), np.repeat([r[2] for r in runs], [len(r[0]) for r in runs])]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["pos", "n", "repeat"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -146,15 +171,15 @@ def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kmer = batch.column(0).to_numpy()
         ahead = np.flatnonzero(kmer != kmer[-1])
         to = int(ahead[-1]) + 1 if len(ahead) else 0
-        if not to and left and left[-1].column(0)[-1].as_py() != kmer[-1]:
-            yield judge(pa.Table.from_batches(left))
-            left = []
+        if not to and left_over and left_over[-1].column(0)[-1].as_py() != kmer[-1]:
+            yield judge(pa.Table.from_batches(left_over))
+            left_over = []
         if to:
-            yield judge(pa.Table.from_batches([*left, batch.slice(0, to)]))
-            left = []
-        left.append(batch.slice(to))
-    if left:
-        yield judge(pa.Table.from_batches(left))
+            yield judge(pa.Table.from_batches([*left_over, batch.slice(0, to)]))
+            left_over = []
+        left_over.append(batch.slice(to))
+    if left_over:
+        yield judge(pa.Table.from_batches(left_over))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -220,7 +245,7 @@ def cut_out(texts: list[str], runs: list[list[dict] | None]) -> Iterator[tuple[i
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     texts = numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    runs = cut(repeat_runs(texts.select("doc", "text")))
+    runs = written(repeat_runs(texts.select("doc", "text")))
     joined = texts.join(by_document(runs), "doc", "left").select("id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +261,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def repeat_runs(texts: DataFrame) -> DataFrame:
     """pos, n: runs of windows that start earlier too. texts: doc, text."""
-    rows = texts.mapInArrow(anchored, "kmer long, salt int, stretch long, pos long, n int")
+    rows = texts.mapInArrow(anchored, SHUFFLED_SQL)
     order = ["kmer", "salt", "stretch", "pos"]
-    runs = cut(rows.repartition("kmer", "salt").sortWithinPartitions(*order).mapInArrow(sorted_out, "pos long, n int, repeat boolean"))
+    runs = written(rows.repartition("kmer", "salt").sortWithinPartitions(*order).mapInArrow(sorted_out, "pos long, n int, repeat boolean"))
     opened = texts.join(by_document(runs.filter("not repeat")), "doc").select("doc", "text", "runs")
-    windows = cut(opened.mapInArrow(halves, "pos long, one long, two long"))
-    ranked = cut(reranked(windows, F.col("one"), ["two"]))
+    windows = written(opened.mapInArrow(halves, "pos long, one long, two long"))
+    ranked = written(reranked(windows, F.col("one"), ["two"]))
     again = reranked(ranked.withColumnRenamed("rank", "before"), F.struct("before", "two"), [])
     later = again.filter(F.col("rank") < F.col("pos")).select("pos", F.lit(1).alias("n"))
     return runs.filter("repeat").select("pos", "n").unionByName(later)
