@@ -83,7 +83,7 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, hidden: int = 1024, window: int = 1 << 22) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, hidden: int = 1024, window: int = 1 << 21) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -98,6 +98,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 if held >= window:
                     yield keys, ids, lengths
                     keys, ids, lengths, held = [], [], [], 0
+        encoder(tokenizer_path).forget()
         if keys:
             yield keys, ids, lengths
 

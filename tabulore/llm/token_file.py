@@ -221,6 +221,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
             texts = batch.column(1).to_pylist()
             for lo, hi in batched(texts):
                 yield batch.column(0).slice(lo, hi - lo), *ended(*encoder(tokenizer_path).encode(texts[lo:hi]), end_id)
+        encoder(tokenizer_path).forget()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = next((b for b in batches if b.num_rows), None)

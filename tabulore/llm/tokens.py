@@ -70,7 +70,7 @@ class Ids:
 
 
 class Encoder:
-    def __init__(self, path: str, most_pieces: int = 600_000) -> None:
+    def __init__(self, path: str, most_pieces: int = 350_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,14 +82,16 @@ class Encoder:
         self.by_piece = parts.get("normalizer") is None and parts["model"]["type"] == "BPE" and all(pre.get(k) == v for k, v in PRE_TOKENIZER.items())
         self.most_pieces = most_pieces
         self.characters = byte_characters()
-        if self.by_piece:
-            self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache; a task does so at its end, for what its worker runs next."""
         self.after_blank: dict[str, int] = {}  # places of pieces, without the blank before them
         self.at_start: dict[str, int] = {}  # of pieces that begin a text
         self.pieces = Ids()
         self.pretokens = Ids()
+        if not self.by_piece:
+            return
         end = [t.id for t in self.library.model.tokenize(self._spelled(END))]
         self.pretokens.add(np.array(end, dtype=np.uint32), np.array([0, len(end)]))  # the place 0 has no ids
         self.pretoken_at = {END: 1}
@@ -161,7 +163,7 @@ class Encoder:
             lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             return np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(lengths.sum())), lengths
         if max(len(self.after_blank), len(self.at_start), len(self.pretoken_at)) > self.most_pieces:
-            self._clear()
+            self.forget()
         odd = {i: CUT.split(t) for i, t in enumerate(texts) if BLANK_AFTER_SPACE.search(t)}
         lists = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], type=pa.large_string()), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
