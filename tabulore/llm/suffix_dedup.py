@@ -7,15 +7,15 @@ classes in the order of their strings, so sorting by any name of a string does.
 1. Anchors. The k-mer with the least hash in a window of LENGTH bytes is the window's anchor, wherever the window
    stands; neighbouring windows share one, which so owns a run of windows. An anchor's own stretch, from the first byte of
    its first window to the last of its last, is named by a hash, and Spark sorts (k-mer, stretch, position). Of equal
-   stretches all but the first are repeats. What is left are the first stretches of each kind. A window holds the KMER
-   bytes before or behind its anchor's k-mer as well; where no other kind of stretch of the k-mer shares those, its windows
-   occur nowhere else. So only where repeats begin and end windows stay open.
-2. Doubling. The windows of those are ranked by their first half: Spark groups (name of half, position) pairs, unique
-   positions go, the others are ranked again by (rank, name of the half one offset further), which is past the threshold.
-   A window whose class begins earlier is a repeat.
+   stretches all but the first are repeats. What is left are the first stretches of each kind. Besides the k-mer a window
+   holds three quarters of the rest for sure, how much of it before the k-mer depends on the quarter in which the window
+   begins. Where no other kind of stretch of the k-mer shares those bytes, the quarter's windows occur nowhere else. So
+   windows stay open only where repeats begin and end.
+2. Doubling. An open window's rank is the pair of the ranks of its halves, LENGTH / 2 apart, which is past the threshold:
+   Spark sorts (rank, rank one offset further, position), and all but the first of equal pairs are repeats.
 3. The repeats of a document meet its text, and are cut out of it.
 
-A task combines what it reads before the shuffle, so a stretch that very many documents share leaves it once; a k-mer
+A task combines what it reads before a shuffle, so what very many documents share leaves it once; a k-mer
 with more than SALT_FROM kinds of stretches in a task is dealt out by stretch, with a mark that keeps the rest of its
 rows from being taken for unique. Names are 64-bit hashes, and windows are equal if two independent ones agree.
 
@@ -34,14 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import cut, lookup, shared_dir, written
+from tabulore.llm.common import shared_dir, written
 
 LENGTH, KMER = 100, 32
-#: A window whose anchor is so far in holds the KMER bytes before it, another those behind it.
-HALFWAY = (LENGTH - KMER) // 2
+QUARTER = (LENGTH - KMER) // 4
 ID_BITS, BYTE_BITS = 35, 28
 SALT_FROM, SALTS, AT_ONCE = 64, 1024, 1 << 20
 #: Windows of a text that are looked at in one go; positions fit into the low bits that the least k-mer is found by.
@@ -63,8 +62,8 @@ def kmers(data: bytes) -> np.ndarray:
 
 
 def stretches(data: bytes) -> tuple[np.ndarray, ...]:
-    """Of each anchor's run of windows: the first, their number, the k-mer, and its distance from the first; 32 bits of the
-    hashes of the bytes before the k-mer and behind it, 0 where no window of the run holds them for sure."""
+    """Of each anchor's run of windows: the first, their number, the k-mer, and its distance from the first; and by
+    quarter 32 bits of a hash of the bytes that its windows hold for sure, 0 where none of the run begins in it."""
     windows = len(data) - LENGTH + 1
     parts = []
     for lo in range(0, max(0, windows), REACH):
@@ -81,36 +80,44 @@ def stretches(data: bytes) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         count, anchor = np.diff(np.append(first, n)), at[first]
         lead = anchor - first
-        ends = (hashed >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        left = np.where(lead >= HALFWAY, ends[np.maximum(anchor - KMER, 0)] | 1, 0)
-        right = np.where(lead - count + 1 < HALFWAY, ends[np.minimum(anchor + KMER, len(ends) - 1)] | 1, 0)
-        parts.append((first + lo, count, hashed[anchor], lead, left, right))
+        names = []
+        for q in range(4):
+            # the k-mer, q quarters before it and 3 - q behind it, as three k-mers that overlap
+            begin = np.clip(anchor - q * QUARTER, 0, len(hashed) - 1 - 3 * QUARTER if len(hashed) > 3 * QUARTER else 0)
+            held = (hashed[begin] * _MIX[1]) ^ (hashed[begin + KMER] * _MIX[2]) ^ (hashed[begin + 3 * QUARTER] * _MIX[3])
+            held ^= held >> np.uint64(29)
+            some = (lead >= q * QUARTER) & ((lead - count + 1 < (q + 1) * QUARTER) | (q == 3))
+            names.append(np.where(some, ((held * _MIX[0]) >> np.uint64(32)).astype(np.int64) | 1, 0))
+        parts.append((first + lo, count, hashed[anchor], lead, names[0] | (names[1] << 32), names[2] | (names[3] << 32)))
     if not parts:
         parts = [(np.zeros(0, dtype=np.int64),) * 6]
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-SHUFFLED = pa.schema([("kmer", pa.int64()), ("salt", pa.int32()), ("stretch", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
-SHUFFLED_SQL = "kmer long, salt int, stretch long, pos long, size int, left int, right int"
-#: The salt of a repeat that a task has found, and the size of a mark; a size holds the windows and the lead.
-RESOLVED, MARK = -1, 0
+#: group: a k-mer, or one with a salt. about: windows, lead, and the flags below.
+COLUMNS = ["group", "stretch", "pos", "about", "first_half", "last_half"]
+SHUFFLED = pa.schema([(c, pa.int64()) for c in COLUMNS])
+SHUFFLED_SQL = ", ".join(f"`{c}` long" for c in COLUMNS)
+#: A repeat that a task has found; a row of a salted k-mer; a mark in the group of a k-mer of which salted rows exist.
+RESOLVED, SALTED, MARK = 1 << 16, 1 << 17, 1 << 18
 
 
-def combined(kmer: np.ndarray, stretch: np.ndarray, pos: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+def combined(kmer: np.ndarray, stretch: np.ndarray, pos: np.ndarray, about: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
     """A task's rows: the first of equal stretches to be sorted, the others resolved; k-mers of many kinds salted."""
     order = np.lexsort((pos, stretch, kmer))
-    kmer, stretch, pos, *rest = (x[order] for x in (kmer, stretch, pos, *rest))
+    kmer, stretch, pos, about, *rest = (x[order] for x in (kmer, stretch, pos, about, *rest))
     other = np.append(True, kmer[1:] != kmer[:-1])[: len(kmer)]
     first = other | np.append(True, stretch[1:] != stretch[:-1])[: len(kmer)]
-    group = np.cumsum(other) - 1
-    many = (np.bincount(group, weights=first) > SALT_FROM)[group]
-    salt = np.where(first, np.where(many, 1 + (stretch % np.uint64(SALTS)).astype(np.int64), 0), RESOLVED).astype(np.int32)
+    many = (np.bincount(np.cumsum(other) - 1, weights=first) > SALT_FROM)[np.cumsum(other) - 1]
+    salted = (kmer + np.uint64(1) + stretch % np.uint64(SALTS)) * _MIX[3]
     # what is resolved goes along evenly
-    key = np.where(first, kmer, pos.astype(np.uint64) * _MIX[0])
+    group = np.where(first, np.where(many, salted, kmer), pos.astype(np.uint64) * _MIX[0])
+    about = about | np.where(first, np.where(many, SALTED, 0), RESOLVED)
     marks = kmer[other & many]
-    columns = [key, salt, stretch, pos, *rest]
-    columns = [np.append(c, marks if i == 0 else np.zeros(len(marks), dtype=c.dtype)) for i, c in enumerate(columns)]
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(f.type) for c, f in zip(columns, SHUFFLED)], schema=SHUFFLED)
+    zeros = np.zeros(len(marks), dtype=np.int64)
+    columns = [group, stretch, pos, about, *rest]
+    columns = [np.append(c, marks if i == 0 else (zeros + MARK if i == 3 else zeros).astype(c.dtype)) for i, c in enumerate(columns)]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], schema=SHUFFLED)
 
 
 def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +128,11 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.encode("utf-8", "surrogatepass")
             if len(data) >= 1 << BYTE_BITS:
                 raise ValueError(f"a text of {len(data)} bytes; the limit is {1 << BYTE_BITS}")
-            start, n, kmer, lead, left, right = stretches(data)
+            start, n, kmer, lead, *names = stretches(data)
             if not len(start):
                 continue
             name = np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + m]) for a, m in zip(start.tolist(), (n + LENGTH - 1).tolist())), dtype=np.uint64, count=len(start))
-            held.append((kmer, name, (doc << BYTE_BITS) + start, (n << 8) | lead, left, right))
+            held.append((kmer, name, (doc << BYTE_BITS) + start, (n << 8) | lead, *names))
             size += len(start)
             if size >= AT_ONCE:
                 yield combined(*(np.concatenate(x) for x in zip(*held)))
@@ -137,49 +144,55 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared(group: np.ndarray, name: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which of the rows `of` have a name that another of them has in the same group."""
     out = np.zeros(len(name), dtype=bool)
-    _, which, times = np.unique(group[of] << 32 | (name[of].astype(np.int64) & 0xFFFFFFFF), return_inverse=True, return_counts=True)
+    _, which, times = np.unique(group[of] << 32 | name[of], return_inverse=True, return_counts=True)
     out[of] = times[which] > 1
-    return out & (name != 0)
+    return out
 
 
-def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by k-mer, salt, stretch, position to runs of windows (pos, n, repeat): those of repeats, and open ones."""
-    left_over: list[pa.RecordBatch] = []
-
-    def judge(table: pa.Table) -> pa.RecordBatch:
-        kmer, salt, stretch, pos, size, left, right = (c.to_numpy() for c in table.columns)
-        n, lead = (size >> 8).astype(np.int64), (size & 255).astype(np.int64)
-        other = np.append(True, (kmer[1:] != kmer[:-1]) | (salt[1:] != salt[:-1]))
-        kind = other | np.append(True, stretch[1:] != stretch[:-1])
-        group = np.cumsum(other) - 1
-        real = size != MARK
-        # a mark sorts among stretches named 0; the first real row of a kind stands behind it
-        first = real & (salt != RESOLVED) & (kind | np.append(False, ~real[:-1]))
-        repeat = real & ~first
-        # with a salt or a mark, other kinds are elsewhere
-        unsure = ((salt > 0) | (np.bincount(group, weights=~real) > 0)[group]) & first
-        before = (shared(group, left, first) | (unsure & (left != 0))) & first
-        behind = (shared(group, right, first) | (unsure & (right != 0))) & first
-        skip = np.maximum(lead - HALFWAY + 1, 0)
-        runs = [(pos[repeat], n[repeat], True), (pos[before], np.minimum(n, skip)[before], False), ((pos + skip)[behind], (n - skip)[behind], False)]
-        columns = [np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]).astype(np.int32), np.repeat([r[2] for r in runs], [len(r[0]) for r in runs])]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["pos", "n", "repeat"])
+def judged(table: pa.Table) -> pa.RecordBatch:
+    """Whole groups, sorted by group, stretch and position, to runs of windows."""
+    key, stretch, pos, about, *halves = (c.to_numpy() for c in table.columns)
+    n, lead = (about >> 8) & 255, about & 255
+    other = np.append(True, key[1:] != key[:-1])
+    kind = other | np.append(True, stretch[1:] != stretch[:-1])
+    group = np.cumsum(other) - 1
+    mark, resolved = about & MARK > 0, about & RESOLVED > 0
+    # a mark sorts among stretches named 0; the first row of a kind stands behind it
+    first = ~mark & ~resolved & (kind | np.append(False, mark[:-1]))
+    repeat = ~mark & ~first
+    # with a salt or a mark, other kinds are elsewhere
+    unsure = (about & SALTED > 0) | (np.bincount(group, weights=mark) > 0)[group]
+    runs = [(pos[repeat], n[repeat], True)]
+    for q in range(4):
+        name = (halves[q // 2] >> (32 * (q % 2))) & 0xFFFFFFFF
+        open_ = first & (name != 0)
+        open_ &= shared(group, name, open_) | unsure
+        # the windows whose distance from the k-mer is in the quarter
+        far = np.where(q == 3, lead, np.minimum(lead, (q + 1) * QUARTER - 1))[open_]
+        near = np.maximum(lead - n + 1, q * QUARTER)[open_]
+        runs.append((pos[open_] + lead[open_] - far, far - near + 1, False))
+    columns = [np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]).astype(np.int32), np.repeat([r[2] for r in runs], [len(r[0]) for r in runs])]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["pos", "n", "repeat"])
 
+
+def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, stretch and position to runs of windows (pos, n, repeat): those of repeats, and open ones."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        kmer = batch.column(0).to_numpy()
-        ahead = np.flatnonzero(kmer != kmer[-1])
+        key = batch.column(0).to_numpy()
+        ahead = np.flatnonzero(key != key[-1])
         to = int(ahead[-1]) + 1 if len(ahead) else 0
-        if not to and left_over and left_over[-1].column(0)[-1].as_py() != kmer[-1]:
-            yield judge(pa.Table.from_batches(left_over))
-            left_over = []
+        if not to and held and held[-1].column(0)[-1].as_py() != key[-1]:
+            yield judged(pa.Table.from_batches(held))
+            held = []
         if to:
-            yield judge(pa.Table.from_batches([*left_over, batch.slice(0, to)]))
-            left_over = []
-        left_over.append(batch.slice(to))
-    if left_over:
-        yield judge(pa.Table.from_batches(left_over))
+            yield judged(pa.Table.from_batches([*held, batch.slice(0, to)]))
+            held = []
+        held.append(batch.slice(to))
+    if held:
+        yield judged(pa.Table.from_batches(held))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -207,22 +220,40 @@ def by_document(runs: DataFrame) -> DataFrame:
 
 
 def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every open window: its position and the names of its halves."""
+    """Of every open window: the names of its halves, and its position; a task's repeats as -1 - position."""
     half = LENGTH // 2
     for batch in batches:
+        pos, one, two = [], [], []
         for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
             data = text.encode("utf-8", "surrogatepass")
-            at = np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs])
-            names = {p: xxhash.xxh3_64_intdigest(data[p : p + half]) for p in np.unique(np.concatenate([at, at + half])).tolist()}
-            one, two = (np.fromiter((names[p] for p in x.tolist()), dtype=np.uint64, count=len(at)).view(np.int64) for x in (at, at + half))
-            yield pa.RecordBatch.from_arrays([pa.array((doc << BYTE_BITS) + at), pa.array(one), pa.array(two)], names=["pos", "one", "two"])
-
-
-def reranked(rows: DataFrame, key: Column, keep: list[str]) -> DataFrame:
-    """rows with rank, the first position that has the same key; positions whose key is unique are gone."""
-    rows = rows.withColumn("key", key)
-    ranks = cut(rows.groupBy("key").agg(F.min("pos").alias("rank"), F.count("*").alias("rows")).filter("rows > 1"))
-    return lookup(rows, ranks, "key", "rows").filter(F.col("rank").isNotNull()).select("pos", "rank", *keep)
+            at = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs]))
+            every = np.unique(np.concatenate([at, at + half]))
+            names = np.fromiter((xxhash.xxh3_64_intdigest(data[p : p + half]) for p in every.tolist()), dtype=np.uint64, count=len(every))
+            pos.append((doc << BYTE_BITS) + at)
+            one.append(names[np.searchsorted(every, at)])
+            two.append(names[np.searchsorted(every, at + half)])
+        if not pos:
+            continue
+        pos, one, two = (np.concatenate(x) for x in (pos, one, two))
+        order = np.lexsort((pos, two, one))
+        pos, one, two = pos[order], one[order], two[order]
+        again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
+        one = np.where(again, pos.astype(np.uint64) * _MIX[0], one)
+        columns = [one.view(np.int64), np.where(again, 0, two.view(np.int64)), np.where(again, -1 - pos, pos)]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["one", "two", "pos"])
+
+
+def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by both names and position to the repeats among them, as runs of one window."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two, pos = (c.to_numpy() for c in batch.columns)
+        same = np.append(last == (one[0], two[0]), (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
+        last = (one[-1], two[-1])
+        found = np.where(pos < 0, -1 - pos, pos)[same | (pos < 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.ones(len(found), dtype=np.int32))], names=["pos", "n"])
 
 
 def cut_out(texts: list[str], runs: list[list[dict] | None]) -> Iterator[tuple[int, int, int, str]]:
@@ -262,11 +293,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def repeat_runs(texts: DataFrame) -> DataFrame:
     """pos, n: runs of windows that start earlier too. texts: doc, text."""
     rows = texts.mapInArrow(anchored, SHUFFLED_SQL)
-    order = ["kmer", "salt", "stretch", "pos"]
-    runs = written(rows.repartition("kmer", "salt").sortWithinPartitions(*order).mapInArrow(sorted_out, "pos long, n int, repeat boolean"))
+    runs = written(rows.repartition("group").sortWithinPartitions("group", "stretch", "pos").mapInArrow(sorted_out, "pos long, n int, repeat boolean"))
     opened = texts.join(by_document(runs.filter("not repeat")), "doc").select("doc", "text", "runs")
-    windows = written(opened.mapInArrow(halves, "pos long, one long, two long"))
-    ranked = written(reranked(windows, F.col("one"), ["two"]))
-    again = reranked(ranked.withColumnRenamed("rank", "before"), F.struct("before", "two"), [])
-    later = again.filter(F.col("rank") < F.col("pos")).select("pos", F.lit(1).alias("n"))
-    return runs.filter("repeat").select("pos", "n").unionByName(later)
+    windows = opened.mapInArrow(halves, "one long, two long, pos long")
+    found = windows.repartition("one", "two").sortWithinPartitions("one", "two", "pos").mapInArrow(later, "pos long, n int")
+    return runs.filter("repeat").select("pos", "n").unionByName(found)

@@ -69,7 +69,7 @@ def test_small_steps_and_salted_anchors(spark, monkeypatch):
     import pyarrow as pa
 
     texts = pa.RecordBatch.from_pydict({"doc": [d for d, _ in rows], "text": [t or "" for _, t in rows]})
-    table = pa.Table.from_batches(batches(module.anchored, [texts.slice(0, 10), texts.slice(10)])).sort_by([(c, "ascending") for c in ("kmer", "salt", "stretch", "pos")])
+    table = pa.Table.from_batches(batches(module.anchored, [texts.slice(0, 10), texts.slice(10)])).sort_by([(c, "ascending") for c in ("group", "stretch", "pos")])
     runs = pa.Table.from_batches(batches(module.sorted_out, table.to_batches(max_chunksize=17))).to_pylist()
     data = {d: (t or "").encode() for d, t in rows}
     windows = lambda rs: [(r["pos"] >> module.BYTE_BITS, (r["pos"] & (1 << module.BYTE_BITS) - 1) + k) for r in rs for k in range(r["n"])]
