@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulore.llm.tokens import batched, encoder, ended
+from tabulore.llm.tokens import encoded, encoder
 
 
 def cost(n: int, hidden: int) -> float:
@@ -83,7 +83,7 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, hidden: int = 1024, window: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, hidden: int = 1024, window: int = 1 << 20) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,10 +91,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[np.ndarray], list[np.ndarray]]]:
         keys, ids, lengths, held = [], [], [], 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in batched(texts):
-                got, n = ended(*encoder(tokenizer_path).encode(texts[lo:hi]), end_id)
-                keys, ids, lengths, held = [*keys, batch.column(0).slice(lo, hi - lo)], [*ids, got], [*lengths, n], held + len(got)
+            for key, got, n in encoded(tokenizer_path, batch, end_id):
+                keys, ids, lengths, held = [*keys, key], [*ids, got], [*lengths, n], held + len(got)
                 if held >= window:
                     yield keys, ids, lengths
                     keys, ids, lengths, held = [], [], [], 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulore.llm.common import shared_dir
-from tabulore.llm.tokens import batched, encoder, ended
+from tabulore.llm.tokens import encoded, encoder
 
 MAGIC, BLOCK = b"S8BT\x01\0\0\0", 1024
 #: Fixed values of the code: ids in a word and bits of each, by selector. 0 is the escape, 1 a run of zeros.
@@ -218,9 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in batched(texts):
-                yield batch.column(0).slice(lo, hi - lo), *ended(*encoder(tokenizer_path).encode(texts[lo:hi]), end_id)
+            yield from encoded(tokenizer_path, batch, end_id)
         encoder(tokenizer_path).forget()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

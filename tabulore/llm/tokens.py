@@ -70,7 +70,7 @@ class Ids:
 
 
 class Encoder:
-    def __init__(self, path: str, most_pieces: int = 350_000) -> None:
+    def __init__(self, path: str, most_pieces: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -181,7 +181,17 @@ class Encoder:
         return ids, np.add.reduceat(length, np.cumsum(n_pieces) - n_pieces)
 
 
-def batched(texts: list[str], chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def encoded(path: str, batch: pa.RecordBatch, end_id: int, rows: int = 512, chars: int = 1 << 21) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of a batch (id, text), in parts of about so many code points: ids of documents, token ids with end_id after
+    each text, and the number of each text's."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        texts = part.column(1).to_pylist()
+        for lo, hi in batched(texts, chars):
+            yield part.column(0).slice(lo, hi - lo), *ended(*encoder(path).encode(texts[lo:hi]), end_id)
+
+
+def batched(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about so many code points at most, one text at least."""
     lo = total = 0
     for i, t in enumerate(texts):
