@@ -85,11 +85,11 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, nrows: int | No
     if name in ("csv", "tsv"):
         leaves, columns = lines.csv(spark, path, table, nrows, delimiter or ("\t" if name == "tsv" else ","), one_line)
     elif name == "fixed_width":
-        leaves, columns = lines.fixed_width(spark, path, table, nrows, widths or [])
+        leaves, columns = lines.fixed_width(lines.lines(spark, path), table, nrows, widths or [])
     elif name in ("common_log", "combined_log"):
-        leaves, columns = lines.weblog(spark, path, table, nrows, name == "combined_log")
+        leaves, columns = lines.weblog(lines.lines(spark, path), table, nrows, name == "combined_log")
     elif name in ("syslog", "syslog5424"):
-        leaves, columns = lines.syslog(spark, path, table, nrows, name == "syslog5424")
+        leaves, columns = lines.syslog(lines.lines(spark, path), table, nrows, name == "syslog5424")
     elif name == "json" and not lines.starts_with_array(spark, path):
         leaves, columns = lines.json_lines(spark, path, table, nrows)[0], None
     elif name == "parquet" and not codec:

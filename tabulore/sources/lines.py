@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -22,6 +23,8 @@ FACILITIES = "kernel user mail daemon auth syslog lpr news uucp cron authpriv ft
 SEVERITIES = "emergency alert critical error warning notice informational debug".split()
 WEB = "host ident authuser timestamp method path protocol status bytes".split()
 
+#: No line has it, so groups may be taken apart at it.
+BETWEEN = "\ue000\x01\ue000"
 Columns = list[tuple[str, str | None]]
 
 
@@ -51,56 +54,60 @@ def csv(spark: SparkSession, path: str, table: str, nrows: int | None, delimiter
     return column_leaves(table, body), [(first[c] or "", None) for c in names]
 
 
-def fixed_width(spark: SparkSession, path: str, table: str, nrows: int | None, widths: list[int]) -> tuple[DataFrame, Columns]:
+def fixed_width(text: DataFrame, table: str, nrows: int | None, widths: list[int]) -> tuple[DataFrame, Columns]:
+    """text (rec, value): the first line is the header."""
     if not widths:
         raise ValueError("fixed-width input needs --widths")
-    text = lines(spark, path)
     starts = [1 + sum(widths[:i]) for i in range(len(widths))]
     fields = [F.regexp_replace(F.substring("value", s, w), r"(?U)^\s+|\s+$", "") for s, w in zip(starts, widths)]
-    head = text.limit(1).select("rec", F.array(*fields).alias("values")).first()
+    head = text.select("rec", F.array(*fields).alias("values")).limit(1).first()
     if head is None:
-        raise ValueError(f"{path} is empty")
+        raise ValueError("fixed-width input is empty")
     body = filled(text.filter(F.col("rec") > head["rec"]), nrows)
     body = body.select("rec", F.array(*(F.nullif(f, F.lit("")) for f in fields)).alias("values"))
     return column_leaves(table, body), [(name, None) for name in head["values"]]
 
 
-def parsed(spark: SparkSession, path: str, table: str, nrows: int | None, pattern: str, said: str, names: list[str], values: list[Column]) -> tuple[DataFrame, Columns]:
-    """Lines that fit the pattern; another fails the run, with its number."""
-    text = filled(lines(spark, path), nrows)
-    # only a failing line pays for its number
+def parsed(text: DataFrame, table: str, nrows: int | None, pattern: str, said: str, names: list[str], values: Callable[[Callable[[int], Column]], list[Column]]) -> tuple[DataFrame, Columns]:
+    """Lines that fit the pattern, whose groups values() gets by number; another line fails the run, with its number.
+
+    One replacement takes all groups of a line at once."""
+    text = filled(text, nrows)
+    count = re.compile(pattern).groups
+    groups = F.split(F.regexp_replace("value", pattern, BETWEEN.join(f"${i}" for i in range(1, count + 1))), BETWEEN, -1)
     number = F.concat(F.lit("line "), (F.col("rec") + 1).cast("string"), F.lit(f" doesn't match {said}: "), F.col("value"))
-    checked = F.when(F.col("value").rlike(pattern), F.array(*values)).otherwise(F.raise_error(number))
-    return column_leaves(table, text.select("rec", checked.alias("values"))), [(name, None) for name in names]
+    text = text.select("rec", F.when(F.col("value").rlike(pattern), groups).otherwise(F.raise_error(number)).alias("groups"))
+    return column_leaves(table, text.select("rec", F.array(*values(lambda i: F.col("groups")[i - 1])).alias("values"))), [(name, None) for name in names]
+
 
+def weblog(text: DataFrame, table: str, nrows: int | None, combined: bool) -> tuple[DataFrame, Columns]:
+    def values(part: Callable[[int], Column]) -> list[Column]:
+        # a request of other than three tokens has none of them
+        words = F.when(part(5).rlike(r"^(\S+) (\S+) (\S+)$"), F.split(part(5), " "))
+        out = [*(dash_to_null(part(i)) for i in (1, 2, 3)), part(4), *(words[i] for i in range(3)), dash_to_null(part(6)), dash_to_null(part(7))]
+        return out + [dash_to_null(part(8)), dash_to_null(part(9))] if combined else out
 
-def weblog(spark: SparkSession, path: str, table: str, nrows: int | None, combined: bool) -> tuple[DataFrame, Columns]:
-    pattern = COMBINED if combined else f"{COMMON}$"
-    part = lambda i: F.regexp_extract("value", pattern, i)
-    request = [F.nullif(F.regexp_extract(part(5), r"^(\S+) (\S+) (\S+)$", i), F.lit("")) for i in (1, 2, 3)]
-    values = [*(dash_to_null(part(i)) for i in (1, 2, 3)), part(4), *request, dash_to_null(part(6)), dash_to_null(part(7))]
-    if combined:
-        values += [dash_to_null(part(8)), dash_to_null(part(9))]
     names = WEB + (["referer", "user_agent"] if combined else [])
-    return parsed(spark, path, table, nrows, pattern, f"{'Combined' if combined else 'Common'} Log Format", names, values)
+    return parsed(text, table, nrows, COMBINED if combined else f"{COMMON}$", f"{'Combined' if combined else 'Common'} Log Format", names, values)
 
 
 def named(number: Column, names: list[str]) -> Column:
     return F.coalesce(F.try_element_at(F.array(*map(F.lit, names)), (number + 1).cast("int")), number.cast("string"))
 
 
-def syslog(spark: SparkSession, path: str, table: str, nrows: int | None, rfc5424: bool) -> tuple[DataFrame, Columns]:
-    pattern = RFC5424 if rfc5424 else RFC3164
-    part = lambda i: F.regexp_extract("value", pattern, i)
-    pri = part(1).try_cast("int")
-    decoded = [named(F.floor(pri / 8).cast("int"), FACILITIES), named(pri % 8, SEVERITIES)]
+def syslog(text: DataFrame, table: str, nrows: int | None, rfc5424: bool) -> tuple[DataFrame, Columns]:
+    def values(part: Callable[[int], Column]) -> list[Column]:
+        pri = part(1).try_cast("int")
+        decoded = [named(F.floor(pri / 8).cast("int"), FACILITIES), named(pri % 8, SEVERITIES)]
+        if rfc5424:
+            return [*decoded, part(2), part(3), *(dash_to_null(part(i)) for i in (4, 5, 6, 7, 8)), part(9)]
+        return [*decoded, part(2), part(3), part(4), F.nullif(part(5), F.lit("")), part(6)]
+
     if rfc5424:
         names = "facility severity version timestamp hostname app_name procid msgid structured_data message".split()
-        values = [*decoded, part(2), part(3), *(dash_to_null(part(i)) for i in (4, 5, 6, 7, 8)), part(9)]
     else:
         names = "facility severity timestamp hostname tag pid message".split()
-        values = [*decoded, part(2), part(3), part(4), F.nullif(part(5), F.lit("")), part(6)]
-    return parsed(spark, path, table, nrows, pattern, f"syslog RFC {'5424' if rfc5424 else '3164'}", names, values)
+    return parsed(text, table, nrows, RFC5424 if rfc5424 else RFC3164, f"syslog RFC {'5424' if rfc5424 else '3164'}", names, values)
 
 
 def _reject(constant: str):
