@@ -61,8 +61,8 @@ def is_plain_array(kind: T.DataType) -> bool:
     return isinstance(kind, T.ArrayType) and label(kind.elementType) in ("bool", "i64", "f64", "String")
 
 
-def array_leaves(table: str, df: DataFrame, name: str, kind: T.ArrayType) -> DataFrame:
-    """An array of scalars, pooled in the JVM."""
+def array_leaves(table: str, df: DataFrame, name: str, kind: T.ArrayType, counts_rows: bool) -> DataFrame:
+    """An array of scalars, pooled in the JVM. counts_rows: with the slot of the table's rows, of which there is one."""
     root, path, of = json.dumps([]), json.dumps([name], ensure_ascii=False), label(kind.elementType)
     column, zero = F.col(f"`{name}`"), F.lit(0).cast("long")
     pooled = df.select("rec", F.posexplode(column).alias("seq", "x")).filter("x is not null")
@@ -71,7 +71,7 @@ def array_leaves(table: str, df: DataFrame, name: str, kind: T.ArrayType) -> Dat
         pooled = pooled.filter(~F.isnan("x") & (F.abs("x") < float("inf")))
     leaves = pooled.select(F.lit(table).alias("table"), F.lit(path).alias("key"), F.lit(of).alias("kind"), text.alias("text"), "rec", "seq", zero.alias("present"), F.lit(False).alias("arrays"), zero.alias("objects"))
     counts = df.agg(F.count("*").alias("rows"), F.count(column).alias("present"))
-    made = [(path, F.col("present"), F.col("present") > 0, zero), (root, zero, F.lit(False), F.col("rows"))]
+    made = [(path, F.col("present"), F.col("present") > 0, zero)] + ([(root, zero, F.lit(False), F.col("rows"))] if counts_rows else [])
     slots = [counts.select(F.lit(table).alias("table"), F.lit(key).alias("key"), F.lit(SLOT).alias("kind"), F.lit(None).cast("string").alias("text"), zero.alias("rec"), F.lit(0).alias("seq"), n.alias("present"), a.alias("arrays"), o.alias("objects")) for key, n, a, o in made]
     return reduce(DataFrame.unionByName, [leaves, *slots])
 
@@ -84,11 +84,12 @@ def frame_leaves(df: DataFrame, table: str, rec: Column | None = None) -> tuple[
     values = [F.lit(None).cast("string") if label(f.dataType) == NESTED else text_of(F.col(f"`{f.name}`"), f.dataType) for f in fields]
     parts = [column_leaves(table, df.select("rec", F.array(*values).alias("values")))] if any(label(f.dataType) != NESTED for f in fields) else []
     nested = [f for f in fields if label(f.dataType) == NESTED]
-    parts += [array_leaves(table, df, f.name, f.dataType) for f in nested if is_plain_array(f.dataType)]
-    for f in nested:
-        if not is_plain_array(f.dataType):
-            as_json = F.to_json(F.struct(F.col(f"`{f.name}`")), {"ignoreNullFields": "false"})
-            parts.append(text_records(table, df.select("rec", as_json.alias("value"))))
+    arrays = [f for f in nested if is_plain_array(f.dataType)]
+    others = [f for f in nested if not is_plain_array(f.dataType)]
+    parts += [array_leaves(table, df, f.name, f.dataType, not others and not i) for i, f in enumerate(arrays)]
+    if others:
+        as_json = F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in others)), {"ignoreNullFields": "false"})
+        parts.append(text_records(table, df.select("rec", as_json.alias("value"))))
     return reduce(DataFrame.unionByName, parts), [(f.name, label(f.dataType)) for f in fields]
 
 
@@ -110,6 +111,7 @@ def arrow_text(value: Any, kind: pa.DataType) -> str | None:
         return value.hex()
     if isinstance(value, datetime):
         text = value.replace(tzinfo=None).isoformat()
+        text = text.rstrip("0") if "." in text else text
         return spelled("Timestamp", text) + ("Z" if value.tzinfo else "")
     if isinstance(value, (date, time)):
         return value.isoformat()
