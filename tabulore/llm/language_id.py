@@ -148,7 +148,8 @@ def predicted(model: Model, text: Column, spark) -> Column:
         langs, score = held.value.score(["" if t is None else t for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
-    return classify(text)
+    # else a filter on the result would have every text classified once more
+    return classify.asNondeterministic()(text)
 
 
 def language_id(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

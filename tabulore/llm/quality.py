@@ -132,4 +132,5 @@ def quality(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(held.value.score([t or "" for t in texts]))
 
-    return df.drop("score").withColumn("score", scored(F.col(text_col)))
+    # else a filter on the score would have every text scored once more
+    return df.drop("score").withColumn("score", scored.asNondeterministic()(F.col(text_col)))
