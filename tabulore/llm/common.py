@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,8 +46,10 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of what refers to the shuffles, the second of the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
     return spark.read.schema(df.schema).parquet(path)
 
 
