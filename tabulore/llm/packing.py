@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulore.llm.tokens import encoded, encoder
+from tabulore.llm.tokens import encoded, encoder, without_gc
 
 
 def cost(n: int, hidden: int) -> float:
@@ -90,13 +90,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[np.ndarray], list[np.ndarray]]]:
         keys, ids, lengths, held = [], [], [], 0
-        for batch in batches:
-            for key, got, n in encoded(tokenizer_path, batch, end_id):
-                keys, ids, lengths, held = [*keys, key], [*ids, got], [*lengths, n], held + len(got)
-                if held >= window:
-                    yield keys, ids, lengths
-                    keys, ids, lengths, held = [], [], [], 0
-        encoder(tokenizer_path).forget()
+        with without_gc():
+            for batch in batches:
+                for key, got, n in encoded(tokenizer_path, batch, end_id):
+                    keys, ids, lengths, held = [*keys, key], [*ids, got], [*lengths, n], held + len(got)
+                    if held >= window:
+                        yield keys, ids, lengths
+                        keys, ids, lengths, held = [], [], [], 0
+            encoder(tokenizer_path).forget()
         if keys:
             yield keys, ids, lengths
 

@@ -14,6 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, compress, repeat
 
 import numpy as np
@@ -25,7 +26,9 @@ PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": Tr
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 END = "\n"
-BLANK_AFTER_SPACE, CUT = re.compile(r"\s "), re.compile(r"(?<=\S) ")
+#: At least what Python's white space is, in Arrow's syntax.
+BLANK_AFTER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
+CUT = re.compile(r"(?<=\S) ")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -70,7 +73,7 @@ class Ids:
 
 
 class Encoder:
-    def __init__(self, path: str, most_pieces: int = 200_000) -> None:
+    def __init__(self, path: str, most_pieces: int = 350_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,13 +118,13 @@ class Encoder:
             codes[missed] = list(map(self.pretoken_at.__getitem__, again))
         return codes
 
-    def _piece_codes(self, place: dict[str, int], keys: list[str], before: str) -> np.ndarray:
-        """Places of the pieces `before + key`. Keys that miss may repeat."""
+    def _piece_codes(self, place: dict[str, int], keys: list[str], before: str, distinct: bool) -> np.ndarray:
+        """Places of the pieces `before + key`. distinct: no key repeats."""
         codes = np.array(list(map(place.get, keys, repeat(-1))), dtype=np.int64)
         missed = np.flatnonzero(codes < 0).tolist()
         if missed:
             again = [keys[i] for i in missed]
-            new = list(dict.fromkeys(again))
+            new = again if distinct else list(dict.fromkeys(again))
             # END between something and one blank is a pretoken by itself, so it can stand between such pieces
             plain = [k[:1] > " " and END not in k and k[:1].isprintable() and not k[-1:].isspace() for k in new] if before else [False] * len(new)
             new = [*compress(new, plain), *(k for k, p in zip(new, plain) if not p)]
@@ -145,35 +148,33 @@ class Encoder:
             codes[missed] = list(map(place.__getitem__, again))
         return codes
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of each text's ids."""
-        was = gc.isenabled()
-        gc.disable()  # millions of small lists, none of them in a cycle, would be searched again and again
-        try:
-            return self._encode(texts)
-        finally:
-            if was:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not texts:
+        if not len(texts):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         if not self.by_piece:
+            texts = texts if isinstance(texts, list) else texts.to_pylist()
             ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             return np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(lengths.sum())), lengths
         if max(len(self.after_blank), len(self.at_start), len(self.pretoken_at)) > self.most_pieces:
             self.forget()
-        odd = {i: CUT.split(t) for i, t in enumerate(texts) if BLANK_AFTER_SPACE.search(t)}
-        lists = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], type=pa.large_string()), " ")
+        texts = pa.array(texts, type=pa.large_string()) if isinstance(texts, list) else texts
+        is_odd = pc.match_substring_regex(texts, BLANK_AFTER_SPACE)
+        where = np.flatnonzero(is_odd.to_numpy(zero_copy_only=False)).tolist()
+        odd = {i: CUT.split(t) for i, t in zip(where, texts.take(pa.array(where, pa.int64())).to_pylist())}
+        lists = pc.split_pattern(pc.if_else(is_odd, "", texts) if odd else texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        at, firsts = coded.indices.to_numpy().astype(np.int64), offsets[:-1]
-        known = self._piece_codes(self.after_blank, coded.dictionary.to_pylist(), " ")[at]
-        known[firsts] = self._piece_codes(self.at_start, [odd[i][0] if i in odd else t.partition(" ")[0] for i, t in enumerate(texts)], "")
+        pieces, firsts = lists.flatten(), offsets[:-1] - offsets[0]
+        coded = pieces.dictionary_encode()
+        known = self._piece_codes(self.after_blank, coded.dictionary.to_pylist(), " ", True)[coded.indices.to_numpy()]
+        begins = pieces.take(pa.array(firsts)).to_pylist()
+        for i in odd:
+            begins[i] = odd[i][0]
+        known[firsts] = self._piece_codes(self.at_start, begins, "", False)
         n_pieces = np.diff(offsets)
         if odd:  # the rest of their pieces stands behind their first
-            rest = self._piece_codes(self.after_blank, [p for i in odd for p in odd[i][1:]], " ")
+            rest = self._piece_codes(self.after_blank, [p for i in odd for p in odd[i][1:]], " ", False)
             more = np.array([len(odd[i]) - 1 for i in odd], dtype=np.int64)
             known = np.insert(known, np.repeat(firsts[list(odd)] + 1, more), rest)
             n_pieces[list(odd)] += more
@@ -181,26 +182,36 @@ class Encoder:
         return ids, np.add.reduceat(length, np.cumsum(n_pieces) - n_pieces)
 
 
-def encoded(path: str, batch: pa.RecordBatch, end_id: int, rows: int = 512, chars: int = 1 << 21) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Of a batch (id, text), in parts of about so many code points: ids of documents, token ids with end_id after
-    each text, and the number of each text's."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
-        texts = part.column(1).to_pylist()
-        for lo, hi in batched(texts, chars):
-            yield part.column(0).slice(lo, hi - lo), *ended(*encoder(path).encode(texts[lo:hi]), end_id)
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """Millions of small lists, none of them in a cycle, would be searched again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def encoded(path: str, batch: pa.RecordBatch, end_id: int, size: int = 1 << 22) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of a batch (id, text), in parts of about so many bytes: ids of documents, token ids with end_id after each
+    text, and the number of each text's."""
+    texts = batch.column(1).cast(pa.large_string())
+    for lo, hi in batched(pc.binary_length(texts).to_numpy(), size):
+        yield batch.column(0).slice(lo, hi - lo), *ended(*encoder(path).encode(texts.slice(lo, hi - lo)), end_id)
 
 
-def batched(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about so many code points at most, one text at least."""
+def batched(lengths: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs whose lengths sum up to about size at most, one text at least."""
     lo = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > chars:
+    for i, n in enumerate(lengths.tolist()):
+        if i > lo and total + n > size:
             yield lo, i
             lo, total = i, 0
-        total += len(t) + 1
-    if lo < len(texts):
-        yield lo, len(texts)
+        total += n
+    if lo < len(lengths):
+        yield lo, len(lengths)
 
 
 def ended(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
