@@ -100,5 +100,31 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST ROWS BE
 """
 
 
+def _level_sql(name: str, rows: str) -> str:
+    """Rows (n, bad, prior) with the prior's strength s."""
+    rho = "(sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0)"
+    return f"{name} AS (SELECT r.*, s FROM ({rows}) r, (SELECT 1 / least(greatest(coalesce({rho}, 0), 1e-4), 0.5) - 1 AS s FROM ({rows})))"
+
+
+_FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))]
+OP1_SQL = f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), h AS (
+  SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u), r AS (
+  SELECT *, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for fits, rule, _ in _FITS)} END AS rule, CASE {" ".join(f"WHEN {fits} THEN '{says}'" for fits, _, says in _FITS)} END AS says FROM h), hosts AS (
+  SELECT host, split_part(host, '.', -1) AS suffix,
+    CASE WHEN len(string_split(host, '.')) <= 2 THEN host ELSE split_part(host, '.', -2) || '.' || split_part(host, '.', -1) END AS domain,
+    count(*) AS n, count_if(says = 'block') AS bad FROM r GROUP BY host), domains AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL), tops AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM domains) AS prior FROM domains GROUP BY suffix),
+{_level_sql("t", "SELECT * FROM tops")},
+{_level_sql("d", "SELECT domains.*, (t.bad + t.prior * s) / (t.n + s) AS prior FROM domains JOIN t USING (suffix)")},
+{_level_sql("k", "SELECT hosts.*, (d.bad + d.prior * s) / (d.n + s) AS prior FROM hosts JOIN d ON hosts.domain = d.domain AND hosts.suffix = d.suffix")}, j AS (
+  SELECT host, (bad + prior * s) / (n + s) AS share, n + s AS weight FROM k)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN share - 1.645 * sqrt(share * (1 - share) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN j USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op8_exact_dedup": OP8_SQL}
