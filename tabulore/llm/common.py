@@ -31,7 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    # a path without a scheme is one of the cluster's default file system
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def cut(df: DataFrame) -> DataFrame:
