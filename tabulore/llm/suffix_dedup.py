@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -219,14 +220,24 @@ def by_document(runs: DataFrame) -> DataFrame:
     return runs.groupBy(F.shiftright("pos", BYTE_BITS).alias("doc")).agg(F.collect_list(F.struct(byte.cast("int").alias("at"), F.col("n").alias("n"))).alias("runs"))
 
 
+def with_runs(batch: pa.RecordBatch) -> Iterator[tuple[Any, bytes, np.ndarray, np.ndarray]]:
+    """Of rows (id, text, runs): id, text, and the runs' first windows and their numbers. One text at a time leaves Arrow."""
+    lists = batch.column(2)
+    bounds, runs = lists.offsets.to_numpy().tolist(), lists.values
+    at, n = runs.field("at").to_numpy().astype(np.int64), runs.field("n").to_numpy().astype(np.int64)
+    for i in range(batch.num_rows):
+        lo, hi = bounds[i], bounds[i + 1]
+        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode("utf-8", "surrogatepass"), at[lo:hi], n[lo:hi]
+
+
 def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every open window: the names of its halves, and its position; a task's repeats as -1 - position."""
     half = LENGTH // 2
     for batch in batches:
         pos, one, two = [], [], []
-        for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-            data = text.encode("utf-8", "surrogatepass")
-            at = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs]))
+        for doc, data, first, n in with_runs(batch):
+            ends = np.cumsum(n)
+            at = np.unique(np.repeat(first - (ends - n), n) + np.arange(ends[-1]))
             every = np.unique(np.concatenate([at, at + half]))
             names = np.fromiter((xxhash.xxh3_64_intdigest(data[p : p + half]) for p in every.tolist()), dtype=np.uint64, count=len(every))
             pos.append((doc << BYTE_BITS) + at)
@@ -256,21 +267,17 @@ def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.ones(len(found), dtype=np.int32))], names=["pos", "n"])
 
 
-def cut_out(texts: list[str], runs: list[list[dict] | None]) -> Iterator[tuple[int, int, int, str]]:
+def cut_out(data: bytes, at: np.ndarray, n: np.ndarray) -> tuple[int, int, int, str]:
     """n_bytes, n_removed, n_spans, kept_sha256."""
-    for text, found in zip(texts, runs):
-        data = text.encode("utf-8", "surrogatepass")
-        if not found:
-            yield len(data), 0, 0, hashlib.sha256(data).hexdigest()
-            continue
-        edge = np.zeros(len(data) + 1, dtype=np.int64)
-        at, n = (np.array([r[k] for r in found], dtype=np.int64) for k in ("at", "n"))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + n + LENGTH - 1, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-        kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-        yield len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
+    if not len(at):
+        return len(data), 0, 0, hashlib.sha256(data).hexdigest()
+    edge = np.zeros(len(data) + 1, dtype=np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + n + LENGTH - 1, -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
+    return len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +288,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(cut_out(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            rows = [cut_out(data, at, n) for _, data, at, n in with_runs(batch)]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.string()])] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
