@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 I64 = r"^[+-]?[0-9]+$"
@@ -27,6 +27,9 @@ DATE_FORMATS = [
     ("%d/%b/%Y:%H:%M:%S %z", rf"^{_D}/{_B}/{_Y}:{_T}\s*[+-][0-9]{{2}}:?[0-9]{{2}}$", (3, 2, 1)),
     ("%Y%m%d", r"^\s*([0-9]{4})(0[1-9]|1[0-2])(0?[1-9]|[12][0-9]|3[01])$", (1, 2, 3)),
 ]
+FLAGS = ["leading_zero", "bool_word", "naive_bool", "i64", "f64", "clean_i64", "clean_f64"] + [f"date_{i}" for i in range(len(DATE_FORMATS))]
+#: How every date begins; most values are told by it at once.
+DATE_START = r"^\s*(?:[0-9]{1,4}[-/]|[0-9]{1,2}\s*[A-Za-z]{3}|[A-Za-z]{3}\s*[0-9]|[0-9]{7,8}$)"
 
 
 def leading_zero(v: Column) -> Column:
@@ -34,19 +37,24 @@ def leading_zero(v: Column) -> Column:
 
 
 def bool_word(v: Column) -> Column:
-    return F.lower(v).isin(*BOOL_WORDS)
+    return (F.length(v) <= 5) & F.lower(v).isin(*BOOL_WORDS)
 
 
 def naive_bool(v: Column) -> Column:
-    return F.lower(v).isin("true", "false")
+    return F.length(v).isin(4, 5) & F.lower(v).isin("true", "false")
 
 
 def is_i64(v: Column) -> Column:
-    return v.rlike(I64) & v.try_cast("bigint").isNotNull()
+    return v.rlike(I64) & ((F.length(v) <= 18) | v.try_cast("bigint").isNotNull())
 
 
 def is_f64(v: Column) -> Column:
-    return v.rlike(F64)
+    return v.rlike(I64) | v.rlike(F64)
+
+
+def has_marks(v: Column) -> Column:
+    """Whether stripped() changes it."""
+    return v.contains(",") | v.contains("$")
 
 
 def stripped(v: Column) -> Column:
@@ -63,9 +71,15 @@ def matches_date(v: Column, pattern: str, groups: tuple[int, int, int]) -> Colum
     return F.when(v.rlike(pattern), day.isNotNull()).otherwise(F.lit(False))
 
 
-def date_flags(v: Column) -> list[Column]:
-    may = F.length(v).between(5, 60) & v.rlike("[0-9]")
-    return [may & matches_date(v, pattern, groups) for _, pattern, groups in DATE_FORMATS]
+def with_flags(df: DataFrame, text: str) -> DataFrame:
+    """df with a boolean column for each of FLAGS. What several of them need is computed once, before them."""
+    v = F.col(text)
+    may = F.length(v).between(5, 60) & v.rlike(DATE_START)
+    df = df.withColumns({"_may": F.coalesce(may, F.lit(False)), "_marks": has_marks(v), "_i64": is_i64(v), "_f64": is_f64(v)})
+    clean = [F.when(F.col("_marks"), test(stripped(v))).otherwise(F.col(plain)) for test, plain in ((is_i64, "_i64"), (is_f64, "_f64"))]
+    plain = [leading_zero(v), bool_word(v), naive_bool(v), F.col("_i64"), F.col("_f64"), *clean]
+    dates = [F.col("_may") & matches_date(v, pattern, groups) for _, pattern, groups in DATE_FORMATS]
+    return df.withColumns(dict(zip(FLAGS, [*plain, *dates]))).drop("_may", "_marks", "_i64", "_f64")
 
 
 def blank_to_null(v: Column) -> Column:

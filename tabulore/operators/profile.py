@@ -26,8 +26,7 @@ MOST_CATEGORIES, FEW = 50, 150
 MIXED, NESTED = "mixed?", "nested?"
 MISSING_NOTE = "has missing values -> wrap in Option<T> / handle nulls"
 EMPTY_NOTE = "column is empty/all null"
-PLAIN_FLAGS = ["leading_zero", "bool_word", "naive_bool", "i64", "f64", "clean_i64", "clean_f64"]
-FLAGS = PLAIN_FLAGS + [f"date_{i}" for i in range(len(P.DATE_FORMATS))]
+FLAGS = P.FLAGS
 
 
 @dataclass
@@ -46,18 +45,12 @@ class Values:
         return self.flags[flag] == self.n
 
 
-def flag_columns(v) -> dict:
-    clean = P.stripped(v)
-    plain = [P.leading_zero(v), P.bool_word(v), P.naive_bool(v), P.is_i64(v), P.is_f64(v), P.is_i64(clean), P.is_f64(clean)]
-    return dict(zip(FLAGS, [*plain, *P.date_flags(v)]))
-
-
 def value_stats(leaves: DataFrame, n_samples: int) -> dict[tuple[str, str, bool], Values]:
     """By (table, key, whether of objects)."""
     spark, want = leaves.sparkSession, max(1, n_samples)
     leaves = leaves.filter(~F.col("kind").isin(SLOT, HEADER, TYPES)).select("table", "key", "kind", "text", "rec", "seq")
     counts = [F.count("*").alias("total"), F.count("text").alias("n"), F.approx_count_distinct("text", 0.05).alias("estimate")]
-    seen = leaves.groupBy("table", "key", "kind").agg(*counts, *(F.count_if(c).alias(name) for name, c in flag_columns(F.col("text")).items()))
+    seen = P.with_flags(leaves, "text").groupBy("table", "key", "kind").agg(*counts, *(F.count_if(name).alias(name) for name in FLAGS))
     out: dict[tuple[str, str, bool], Values] = defaultdict(Values)
     for row in seen.collect():
         v = out[(row["table"], row["key"], row["kind"] == OBJECT)]
@@ -79,17 +72,24 @@ def value_stats(leaves: DataFrame, n_samples: int) -> dict[tuple[str, str, bool]
             if row["text"] not in v.samples and len(v.samples) < want:
                 v.samples.append(row["text"])
 
-    if few:
-        found = of(few).groupBy(*by, "text").agg(F.min(F.struct("rec", "seq")).alias("first"))
-        ranked = found.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy("first")), "unique": F.count("*").over(Window.partitionBy(*by))})
-        for row in sorted(ranked.filter(F.col("rank") <= want).collect(), key=lambda r: r["rank"]):
-            out[(row["table"], row["key"], row["objects"])].unique = row["unique"]
-            take([row])
+    # rows of tables without nesting are told apart by rec alone, which hash aggregation can take the least of
+    for flat in (True, False):
+        if keys := [k for k in few if k[1].startswith("[") is not flat]:
+            found = of(keys).groupBy(*by, "text").agg((F.min("rec") if flat else F.min(F.struct("rec", "seq"))).alias("first"))
+            ranked = found.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy("first")), "unique": F.count("*").over(Window.partitionBy(*by))})
+            for row in sorted(ranked.filter(F.col("rank") <= want).collect(), key=lambda r: r["rank"]):
+                out[(row["table"], row["key"], row["objects"])].unique = row["unique"]
+                take([row])
     many, first = [k for k, v in out.items() if v.estimate > FEW], max(64, 4 * want)
+    reach: int | None = 16 * first  # the first rows alone, while they are enough
     while many:
-        numbered = of(many).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("rec", "seq")))
+        some = of(many) if reach is None else of(many).filter(F.col("rec") < reach)
+        numbered = some.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("rec", "seq")))
+        for k in many:
+            out[k].samples = []
         take(sorted(numbered.filter(F.col("rank") <= first).collect(), key=lambda r: r["rank"]))
-        many, first = [k for k in many if len(out[k].samples) < want and first < out[k].n], first * 16
+        many = [k for k in many if len(out[k].samples) < want and (reach is not None or first < out[k].n)]
+        first, reach = first * 16, None
     return out
 
 

@@ -180,11 +180,8 @@ def flag_query(names: list[str]) -> Query:
     """How many values of each text column above a predicate holds for."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from tabulore.operators.profile import flag_columns
-
         rows = events(spark, sf_dir).selectExpr("stack(" + str(len(STRINGS)) + ", " + ", ".join(f"'{n}', {s}" for n, s, _ in STRINGS) + ") AS (name, t)").filter("t is not null")
-        flags = flag_columns(F.col("t"))
-        return rows.groupBy("name").agg(*(F.count_if(flags[n]).alias(n) for n in names))
+        return P.with_flags(rows, "t").groupBy("name").agg(*(F.count_if(n).alias(n) for n in names))
 
     return run
 

@@ -4,17 +4,16 @@ from datetime import date
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tabulore.functions import predicates as P
 from tabulore.functions.text import float_text, plain, round1, shortest
-from tabulore.operators.profile import FLAGS, Values, cascade, flag_columns, kind_label, missing_pct, value_stats
+from tabulore.operators.profile import FLAGS, Values, cascade, kind_label, missing_pct, value_stats
 from tabulore.operators.leaves import column_leaves, compact, pool, scalar
 
 
 def flags_of(spark, values):
     rows = spark.createDataFrame([(v,) for v in values], "t string")
-    return {r.t: r for r in rows.select("t", *(c.alias(n) for n, c in flag_columns(F.col("t")).items())).collect()}
+    return {r.t: r for r in P.with_flags(rows, "t").collect()}
 
 
 def values_of(spark, texts):
