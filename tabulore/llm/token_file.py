@@ -37,6 +37,8 @@ from tabulore.llm.tokens import encoded, encoder, without_gc
 MAGIC, BLOCK = b"S8BT\x01\0\0\0", 1024
 #: Ids that are encoded at once; whole blocks, and few enough for a processor's cache.
 AT_ONCE = 256 * BLOCK
+#: The encoder's cache, which here lives on from task to task.
+MOST_PIECES = 500_000
 #: Fixed values of the code: ids in a word and bits of each, by selector. 0 is the escape, 1 a run of zeros.
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNT, BITS = (np.array(x, dtype=np.int64) for x in zip(*SELECTORS))
@@ -220,10 +222,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
     parts = kept.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        encoder(tokenizer_path).most_pieces = MOST_PIECES
         with without_gc():
             for batch in batches:
                 yield from encoded(tokenizer_path, batch, end_id)
-        encoder(tokenizer_path).forget()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = next((b for b in batches if b.num_rows), None)
