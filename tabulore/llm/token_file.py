@@ -37,8 +37,6 @@ from tabulore.llm.tokens import encoded, encoder, without_gc
 MAGIC, BLOCK = b"S8BT\x01\0\0\0", 1024
 #: Ids that are encoded at once; whole blocks, and few enough for a processor's cache.
 AT_ONCE = 256 * BLOCK
-#: The encoder's cache, which here lives on from task to task.
-MOST_PIECES = 500_000
 #: Fixed values of the code: ids in a word and bits of each, by selector. 0 is the escape, 1 a run of zeros.
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNT, BITS = (np.array(x, dtype=np.int64) for x in zip(*SELECTORS))
@@ -74,19 +72,23 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         widest = spans[k] if k == count else np.maximum(spans[k], np.pad(spans[k][:, count - k :], ((0, 0), (0, count - k))))
         best[widest <= bits] = selector
     # follow the words of all blocks side by side
-    step = COUNT[best]
-    at, rows, picked = np.zeros(blocks, dtype=np.int64), np.arange(blocks), []
-    while len(rows):
-        picked.append(rows * BLOCK + at[rows])
-        at[rows] += step[rows, at[rows]]
-        rows = rows[at[rows] < BLOCK]
-    starts = np.sort(np.concatenate(picked)) if picked else np.zeros(0, dtype=np.int64)
-    starts = starts[starts < n]
-    chosen = best.ravel()[starts].astype(np.int64)
+    best = best.ravel()
+    step, begins = COUNT[best].astype(np.int32), np.zeros(len(best), dtype=bool)
+    at = np.arange(blocks, dtype=np.int32) * BLOCK
+    stop = at + BLOCK
+    while len(at):
+        begins[at] = True
+        at = at + step[at]
+        more = at < stop
+        if not more.all():
+            at, stop = at[more], stop[more]
+    starts = np.flatnonzero(begins[:n])
+    chosen = best[starts].astype(np.int64)
     size = np.where(chosen == 0, 2, 1)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), dtype=np.uint64)
     words[place] = chosen.astype(np.uint64) << np.uint64(60)
+    within = BLOCK - starts % BLOCK  # ids from here to the block's end
     longer = np.concatenate([padded, np.zeros(128, dtype=np.uint64)])
     for selector in np.unique(chosen).tolist():
         own = np.flatnonzero(chosen == selector)
@@ -94,9 +96,12 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         if selector == 0:
             words[place[own] + 1] = padded[starts[own]]
             continue
-        for j in range(count if bits else 0):
-            inside = (starts[own] % BLOCK + j) < BLOCK
-            words[place[own[inside]]] |= longer[starts[own[inside]] + j] << np.uint64(bits * j)
+        for part, cut in ((own[within[own] >= count], False), (own[within[own] < count], True)):
+            from_, held = starts[part], words[place[part]]
+            for j in range(count if bits and len(part) else 0):
+                ids_j = longer[from_ + j]
+                held |= (np.where(within[part] > j, ids_j, np.uint64(0)) if cut else ids_j) << np.uint64(bits * j)
+            words[place[part]] = held
     block = starts // BLOCK
     first = np.searchsorted(block, np.arange(blocks))
     count = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
@@ -125,13 +130,16 @@ def decode(words: np.ndarray, first: np.ndarray, count: np.ndarray, escaped: np.
     n = np.where(plain, COUNT[selectors], 0)
     ends = np.cumsum(n)
     to = base[block] + ends - n - (np.concatenate([[0], ends])[first])[block]
-    limit = (base + count)[block]
+    room = (base + count)[block] - to  # ids from here to the block's end
     for selector in np.unique(selectors[plain]).tolist():
         own = np.flatnonzero(plain & (selectors == selector))
         many, bits = SELECTORS[selector]
+        mask = np.uint64((1 << bits) - 1) if bits < 64 else np.uint64(2**64 - 1)
+        whole, last = own[room[own] >= many], own[room[own] < many]
         for j in range(many if bits else 0):
-            inside = own[to[own] + j < limit[own]]
-            out[to[inside] + j] = (words[inside] >> np.uint64(bits * j)) & np.uint64((1 << bits) - 1)
+            out[to[whole] + j] = (words[whole] >> np.uint64(bits * j)) & mask
+            if len(last := last[room[last] > j]):
+                out[to[last] + j] = (words[last] >> np.uint64(bits * j)) & mask
     return out
 
 
@@ -222,10 +230,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
     parts = kept.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-        encoder(tokenizer_path).most_pieces = MOST_PIECES
         with without_gc():
             for batch in batches:
                 yield from encoded(tokenizer_path, batch, end_id)
+        encoder(tokenizer_path).forget()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = next((b for b in batches if b.num_rows), None)
