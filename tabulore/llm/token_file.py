@@ -162,7 +162,7 @@ def write_file(uri: str, documents: Iterator[tuple[pa.Array, np.ndarray, np.ndar
     keys, lengths, index, n_words = [], [], [], 0
     with fs.open_output_stream(path) as out:
         out.write(MAGIC)
-        held = np.zeros(0, dtype=np.uint64)
+        held = np.zeros(0, dtype=np.uint32)
 
         def put(ids: np.ndarray) -> None:
             nonlocal n_words
@@ -175,7 +175,7 @@ def write_file(uri: str, documents: Iterator[tuple[pa.Array, np.ndarray, np.ndar
         for key, ids, n in documents:
             keys.append(key)
             lengths.append(n)
-            held = np.concatenate([held, ids.astype(np.uint64)])
+            held = np.concatenate([held, ids]) if len(held) else ids
             if full := len(held) // BLOCK * BLOCK:
                 put(held[:full])
                 held = held[full:]
