@@ -14,9 +14,9 @@ from tabulore.llm import language_id
 from tabulore.llm.common import is_held_out, shared_dir, table
 from tabulore.llm.exact_dedup import exact_dedup
 from tabulore.llm.mixing import mix
+from tabulore.llm.near_copies import drop_near
 from tabulore.llm.packing import pack
 from tabulore.llm.queries import TOKENIZER
-from tabulore.llm.simhash import simhash_groups
 
 LEAST_SCORE = 0.5
 
@@ -34,9 +34,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; rows without an id stay."""
-    dropped = simhash_groups(docs.select("doc_id", "text")).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of documents with a Jaccard similarity of 0.8 or more, by five-word shingles, one row stays."""
+    return drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
