@@ -10,6 +10,11 @@ offset; the most voted offset aligns them, and the bit errors are counted over
 their whole overlap. Queries come in blocks of about `block_codes` integers; every block passes over all
 recordings, so neither their number nor an integer that a third of them share is limited.
 
+align() gives each recording's best query; align_all() every query that has a vote. Queries of equal integers are one
+class there, named by its smallest id, so a group of equal recordings gives a row for each, not one for each pair:
+class_id says of which class a recording is (null if no query has its integers), match_id which class it aligns
+with, and pairs() spells out the pairs. A row leaves out the recording's own class only if no other id is in it.
+
 Defined results: a null recording is empty. A recording of fewer than WIDTH frames has no integers and aligns with
 nothing (match_id null, votes 0). A recording doesn't align with itself (the same id); null ids are never queries.
 Equal votes go to the smaller query id, then to the smaller offset. Repeated rows get equal results.
@@ -141,9 +146,10 @@ class Index:
     key: np.ndarray  # their distinct integers, ascending
     query: np.ndarray
     place: np.ndarray
+    last: np.ndarray  # the largest id of each query's class, where ids has the smallest
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes]]) -> Index:
+    def of(cls, rows: list[tuple[int, bytes]], last: dict[int, int] | None = None) -> Index:
         rows = sorted(rows)
         held = [np.frombuffer(c, dtype="<u4") for _, c in rows]
         marks = [landmarks(h) for h in held]
@@ -151,10 +157,11 @@ class Index:
         query = np.repeat(np.arange(len(rows)), [len(k) for k, _ in marks]).astype(np.int64)
         place = np.concatenate([p for _, p in marks]) if marks else np.zeros(0, dtype=np.int64)
         order = np.argsort(key, kind="stable")
-        return cls(np.array([i for i, _ in rows], dtype=np.int64), held, key[order], query[order], place[order])
+        ids = np.array([i for i, _ in rows], dtype=np.int64)
+        return cls(ids, held, key[order], query[order], place[order], ids if last is None else np.array([last[i] for i, _ in rows], dtype=np.int64))
 
-    def best(self, own_id: int, held: np.ndarray) -> tuple[int, int, int, float] | None:
-        """query id, offset, votes, share of wrong bits."""
+    def voted(self, own_id: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs of query and offset, ascending, and their votes; not those of a query whose only id is the recording's."""
         key, place = landmarks(held)
         lo, hi = np.searchsorted(self.key, key), np.searchsorted(self.key, key, side="right")
         n = hi - lo
@@ -163,15 +170,36 @@ class Index:
         ends = np.cumsum(n)
         at = np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]))
         query, offset = self.query[at], np.repeat(place, n) - self.place[at]
-        other = self.ids[query] != own_id
+        other = (self.ids[query] != own_id) | (self.last[query] != own_id)
         if not other.any():
             return None
-        pair, votes = np.unique(query[other] << 32 | (offset[other] + (1 << 31)), return_counts=True)
-        top = pair[votes.argmax()]  # the first of equals: the smaller query, then the smaller offset
-        q, shift = int(top >> 32), int(top & 0xFFFFFFFF) - (1 << 31)
+        return np.unique(query[other] << 32 | (offset[other] + (1 << 31)), return_counts=True)
+
+    def measured(self, pair: int, votes: int, held: np.ndarray) -> tuple[int, int, int, float]:
+        """query id, offset, votes, share of wrong bits."""
+        q, shift = int(pair >> 32), int(pair & 0xFFFFFFFF) - (1 << 31)
         mine, theirs = held[max(0, shift) :], self.held[q][max(0, -shift) :]
         m = min(len(mine), len(theirs))
-        return int(self.ids[q]), shift, int(votes.max()), float(np.bitwise_count(mine[:m] ^ theirs[:m]).sum() / (32 * m))
+        return int(self.ids[q]), shift, int(votes), float(np.bitwise_count(mine[:m] ^ theirs[:m]).sum() / (32 * m))
+
+    def best(self, own_id: int, held: np.ndarray) -> tuple[int, int, int, float] | None:
+        found = self.voted(own_id, held)
+        if found is None:
+            return None
+        pair, votes = found
+        top = votes.argmax()  # the first of equals: the smaller query, then the smaller offset
+        return self.measured(pair[top], votes[top], held)
+
+    def every(self, own_id: int, held: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """The best offset of each query that has a vote."""
+        found = self.voted(own_id, held)
+        if found is None:
+            return []
+        pair, votes = found
+        order = np.lexsort((pair, -votes, pair >> 32))
+        query = pair[order] >> 32
+        tops = order[np.concatenate([[True], query[1:] != query[:-1]])]
+        return [self.measured(pair[i], votes[i], held) for i in tops]
 
 
 def align(recordings: DataFrame, is_query: Column, id_col: str = "doc_id", media: Column | None = None, block_codes: int = 2_000_000) -> DataFrame:
@@ -204,3 +232,43 @@ def align(recordings: DataFrame, is_query: Column, id_col: str = "doc_id", media
         if block + 1 < blocks:
             out = cut(out)
     return out.select(F.col("id").alias(id_col), (F.length("codes") / 4).cast("long").alias("n_codes"), F.crc32("codes").alias("codes_crc32"), "match_id", "offset", "votes", "bit_error")
+
+
+def align_all(recordings: DataFrame, is_query: Column, id_col: str = "doc_id", media: Column | None = None, block_codes: int = 2_000_000) -> DataFrame:
+    """id, n_codes, codes_crc32, class_id, match_id, offset, votes, bit_error: a row for each recording and each class of
+    queries that it aligns with, or one with match_id null."""
+    spark = recordings.sparkSession
+    prints = cut(fingerprinted(recordings, id_col, F.col("text") if media is None else media))
+    queries = prints.filter(F.col("id").isNotNull() & is_query & (F.length("codes") > 0))
+    classes = cut(queries.groupBy("codes").agg(F.min("id").cast("long").alias("first"), F.max("id").cast("long").alias("last")))
+    n_codes = classes.agg(F.sum(F.length("codes"))).first()[0] or 0
+    blocks = max(1, -(-n_codes // (4 * block_codes)))
+    kind, found = prints.schema["id"].dataType.simpleString(), "struct<match_id: bigint, offset: bigint, votes: bigint, bit_error: double>"
+    fields = pa.struct([("match_id", pa.int64()), ("offset", pa.int64()), ("votes", pa.int64()), ("bit_error", pa.float64())])
+    out = prints.selectExpr("id", "codes", "cast(null as long) class_id", f"cast(array() as array<{found}>) found")
+    for block in range(blocks):
+        # one block of a stated query set at a time, of a bounded size
+        rows = classes.filter(F.pmod(F.xxhash64("codes"), F.lit(blocks)) == block).collect()
+        index = Index.of([(r["first"], bytes(r["codes"])) for r in rows], {r["first"]: r["last"] for r in rows})
+        held = spark.sparkContext.broadcast((index, {bytes(r["codes"]): r["first"] for r in rows}))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index, named = held.value
+            for batch in batches:
+                own, mine, of, before = (c.to_pylist() for c in batch.columns)
+                of = [named.get(c, k) for c, k in zip(mine, of)]
+                now = [[*b, *(dict(zip(fields.names, x)) for x in index.every(NO_ID if i is None else i, np.frombuffer(c, dtype="<u4")))] for i, c, b in zip(own, mine, before)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(of, pa.int64()), pa.array(now, pa.list_(fields))], names=batch.schema.names)
+
+        out = out.mapInArrow(run, f"id {kind}, codes binary, class_id long, found array<{found}>")
+        if block + 1 < blocks:
+            out = cut(out)
+    each = out.select(F.col("id").alias(id_col), (F.length("codes") / 4).cast("long").alias("n_codes"), F.crc32("codes").alias("codes_crc32"), "class_id", F.explode_outer("found").alias("found"))
+    return each.select(id_col, "n_codes", "codes_crc32", "class_id", "found.match_id", "found.offset", F.coalesce("found.votes", F.lit(0)).cast("long").alias("votes"), "found.bit_error")
+
+
+def pairs(aligned: DataFrame, is_query: Column, id_col: str = "doc_id") -> DataFrame:
+    """query_id, id, offset, votes, bit_error of every pair that align_all's rows stand for; is_query is of the column id."""
+    queries = aligned.select(F.col(id_col).alias("id"), "class_id").filter(is_query & F.col("id").isNotNull()).distinct()
+    met = aligned.filter("match_id is not null").join(queries.select(F.col("id").alias("query_id"), F.col("class_id").alias("match_id")), "match_id")
+    return met.filter(~F.col("query_id").eqNullSafe(F.col(id_col))).select("query_id", id_col, "offset", "votes", "bit_error")

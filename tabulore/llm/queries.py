@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulore.llm.audio_fingerprint import align
+from tabulore.llm.audio_fingerprint import align_all
 from tabulore.llm.common import is_held_out, table
 from tabulore.llm.exact_dedup import narrow_dedup
 from tabulore.llm import language_id, quality
@@ -36,7 +36,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as recordings: their UTF-8 bytes are 8-bit samples. Queries: ids divisible by 50."""
-    return align(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("id") % 50 == 0)
+    return align_all(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("id") % 50 == 0)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
