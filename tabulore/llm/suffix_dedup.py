@@ -1,8 +1,7 @@
 """Suffix-array dedup: bytes covered by a LENGTH-byte string that also starts earlier, by prefix doubling.
 
-Positions are (document, byte), ordered by document id and then by byte; a match lies in one document. Ranks of
-positions are names of classes of equal prefixes, the first position of the class. Nothing here needs the
-classes in the order of their strings, so sorting by any name of a string does.
+Positions are (document, byte), ordered by document id and then by byte; a match lies in one document. Prefix doubling of
+all positions would shuffle many times the text, so two steps first settle the positions that can be told by runs:
 
 1. Anchors. The k-mer with the least hash in a window of LENGTH bytes is the window's anchor, wherever the window
    stands; neighbouring windows share one, which so owns a run of windows. An anchor's own stretch, from the first byte of
@@ -11,18 +10,19 @@ classes in the order of their strings, so sorting by any name of a string does.
    holds three quarters of the rest for sure, how much of it before the k-mer depends on the quarter in which the window
    begins. Where no other kind of stretch of the k-mer shares those bytes, the quarter's windows occur nowhere else. So
    windows stay open only where repeats begin and end.
-2. Doubling. An open window's rank is the pair of the ranks of its halves, LENGTH / 2 apart, which is past the threshold:
-   Spark sorts (rank, rank one offset further, position), and all but the first of equal pairs are repeats.
+2. Doubling (doubling.py). Spark sorts the open windows' pairs of ranks at growing offsets, reranks, and drops unique ones, until
+   ranks are past the threshold; all but the first of equal windows are repeats.
 3. The repeats of a document meet its text, and are cut out of it.
 
-A task combines what it reads before a shuffle, so what very many documents share leaves it once; a k-mer
-with more than SALT_FROM kinds of stretches in a task is dealt out by stretch, with a mark that keeps the rest of its
-rows from being taken for unique. Names are 64-bit hashes, and windows are equal if two independent ones agree.
+A task combines what it reads before a shuffle, so what very many documents share leaves it once for each AT_ONCE
+anchors; a k-mer with more than SALT_FROM kinds of stretches in a task is dealt out by stretch, with a mark that keeps the
+rest of its rows from being taken for unique. Of a k-mer with over CROWD rows all kinds stay open, so no task holds more. Names
+are 64-bit hashes: a false repeat needs equal k-mer hashes and equal stretch hashes, or four equal hashes in doubling.
 
-Ids: integers from 0 below 2 ** ID_BITS, without repeats, are used as they are; any other ids are numbered in
-their order first (nulls first, then rows that repeat an id by a hash of their text). Texts are shorter than 2 ** BYTE_BITS
-bytes; a longer one raises an error. Defined results: a null text is empty, and an empty text keeps nothing. Repeated
-rows are separate documents. An empty table gives no rows.
+Ids: integers without repeats, from 0 and below 2 ** (63 - bits), are used as they are, with as many bits as the longest
+text needs for its bytes; any other ids are numbered in their order first (nulls first, then rows that repeat an id by a hash
+of their text). Documents times the next power of two above the longest text may not exceed 2 ** 63. Defined results: a null
+text is empty, and an empty text keeps nothing. Repeated rows are separate documents. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulore.llm.common import shared_dir, written
+from tabulore.llm.doubling import LENGTH, repeats
 
-LENGTH, KMER = 100, 32
+KMER = 32
 QUARTER = (LENGTH - KMER) // 4
-ID_BITS, BYTE_BITS = 35, 28
-SALT_FROM, SALTS, AT_ONCE = 64, 1024, 1 << 20
+SALT_FROM, SALTS, AT_ONCE, CROWD = 64, 1024, 1 << 18, 1 << 17
 #: Windows of a text that are looked at in one go; positions fit into the low bits that the least k-mer is found by.
 REACH = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -121,25 +121,28 @@ def combined(kmer: np.ndarray, stretch: np.ndarray, pos: np.ndarray, about: np.n
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], schema=SHUFFLED)
 
 
-def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = text.encode("utf-8", "surrogatepass")
-            if len(data) >= 1 << BYTE_BITS:
-                raise ValueError(f"a text of {len(data)} bytes; the limit is {1 << BYTE_BITS}")
-            start, n, kmer, lead, *names = stretches(data)
-            if not len(start):
-                continue
-            name = np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + m]) for a, m in zip(start.tolist(), (n + LENGTH - 1).tolist())), dtype=np.uint64, count=len(start))
-            held.append((kmer, name, (doc << BYTE_BITS) + start, (n << 8) | lead, *names))
-            size += len(start)
-            if size >= AT_ONCE:
-                yield combined(*(np.concatenate(x) for x in zip(*held)))
-                held, size = [], 0
-    if held:
-        yield combined(*(np.concatenate(x) for x in zip(*held)))
+def anchored(bits: int):
+    """Rows (doc, text) to COLUMNS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = text.as_buffer().to_pybytes()
+                start, n, kmer, lead, *names = stretches(data)
+                if not len(start):
+                    continue
+                name = np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + m]) for a, m in zip(start.tolist(), (n + LENGTH - 1).tolist())), dtype=np.uint64, count=len(start))
+                held.append((kmer, name, (doc << bits) + start, (n << 8) | lead, *names))
+                size += len(start)
+                if size >= AT_ONCE:
+                    yield combined(*(np.concatenate(x) for x in zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield combined(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
 
 
 def shared(group: np.ndarray, name: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -150,19 +153,22 @@ def shared(group: np.ndarray, name: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def judged(table: pa.Table) -> pa.RecordBatch:
-    """Whole groups, sorted by group, stretch and position, to runs of windows."""
+def judged(table: pa.Table, crowd: tuple[int, int | None] | None = None) -> pa.RecordBatch:
+    """Groups, sorted by group, stretch and position, to runs of windows. crowd: a group that isn't whole, and its last stretch before."""
     key, stretch, pos, about, *halves = (c.to_numpy() for c in table.columns)
     n, lead = (about >> 8) & 255, about & 255
     other = np.append(True, key[1:] != key[:-1])
     kind = other | np.append(True, stretch[1:] != stretch[:-1])
+    crowded = key == crowd[0] if crowd else np.zeros(len(key), dtype=bool)
+    if crowd and crowded[0]:
+        kind[0] = stretch[0] != crowd[1]
     group = np.cumsum(other) - 1
     mark, resolved = about & MARK > 0, about & RESOLVED > 0
     # a mark sorts among stretches named 0; the first row of a kind stands behind it
     first = ~mark & ~resolved & (kind | np.append(False, mark[:-1]))
     repeat = ~mark & ~first
     # with a salt or a mark, other kinds are elsewhere
-    unsure = (about & SALTED > 0) | (np.bincount(group, weights=mark) > 0)[group]
+    unsure = crowded | (about & SALTED > 0) | (np.bincount(group, weights=mark) > 0)[group]
     runs = [(pos[repeat], n[repeat], True)]
     for q in range(4):
         name = (halves[q // 2] >> (32 * (q % 2))) & 0xFFFFFFFF
@@ -179,30 +185,35 @@ def judged(table: pa.Table) -> pa.RecordBatch:
 def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group, stretch and position to runs of windows (pos, n, repeat): those of repeats, and open ones."""
     held: list[pa.RecordBatch] = []
+    crowd: tuple[int, int | None] | None = None  # the group that is held, if part of it is out already
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy()
         ahead = np.flatnonzero(key != key[-1])
         to = int(ahead[-1]) + 1 if len(ahead) else 0
-        if not to and held and held[-1].column(0)[-1].as_py() != key[-1]:
-            yield judged(pa.Table.from_batches(held))
-            held = []
-        if to:
-            yield judged(pa.Table.from_batches([*held, batch.slice(0, to)]))
-            held = []
+        if to or held and held[-1].column(0)[-1].as_py() != key[-1] or crowd and crowd[0] != key[0]:
+            if held or to:
+                yield judged(pa.Table.from_batches([*held, batch.slice(0, to)] if to else held), crowd)
+            held, crowd = [], None
         held.append(batch.slice(to))
+        if sum(b.num_rows for b in held) > CROWD:
+            yield judged(pa.Table.from_batches(held), crowd or (int(key[-1]), None))
+            held, crowd = [], (int(key[-1]), int(batch.column(1)[-1].as_py()))
     if held:
-        yield judged(pa.Table.from_batches(held))
+        yield judged(pa.Table.from_batches(held), crowd)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs (id, text) with doc, a number in the ids' order; ids that serve as such are kept."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (id, text) with doc, a number in the ids' order, and the bits of a byte's place; ids that serve as such are kept."""
     kind = docs.schema["id"].dataType.simpleString()
-    if kind in ("int", "bigint", "smallint", "tinyint"):
-        ids = docs.groupBy("id").count().agg(F.max("count"), F.min("id"), F.max("id"), F.count_if(F.col("id").isNull())).first()
-        if ids[0] is None or (ids[0] == 1 and ids[1] >= 0 and ids[2] < 1 << ID_BITS and not ids[3]):
-            return docs.withColumn("doc", F.col("id").cast("long"))
+    whole = kind in ("int", "bigint", "smallint", "tinyint")
+    longest, rows, *ids = docs.agg(F.max(F.octet_length("text")), F.count("*"), *([F.min("id"), F.max("id"), F.count("id")] if whole else [])).first()
+    bits = int(longest or 1).bit_length()
+    if rows > 1 << (63 - bits):
+        raise ValueError(f"{rows} documents of up to {longest} bytes are more positions than 63 bits can number")
+    if whole and (not rows or ids[2] == rows and ids[0] >= 0 and ids[1] < 1 << (63 - bits) and docs.groupBy("id").count().filter("count > 1").isEmpty()):
+        return docs.withColumn("doc", F.col("id").cast("long")), bits
     tie = F.xxhash64("text")
     path = f"{shared_dir(docs.sparkSession)}/numbered-{uuid.uuid4().hex}"
     docs.repartitionByRange("id", tie).sortWithinPartitions("id", tie).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
@@ -211,13 +222,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     sizes = sorted((r[0], r[1]) for r in held.groupBy(part.alias("part")).count().collect())
     before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
     first = docs.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "_part long, _first long")
-    return held.join(F.broadcast(first), part == F.col("_part")).select("id", "text", (F.col("_first") + row).alias("doc"))
+    return held.join(F.broadcast(first), part == F.col("_part")).select("id", "text", (F.col("_first") + row).alias("doc")), bits
 
 
-def by_document(runs: DataFrame) -> DataFrame:
+def by_document(runs: DataFrame, bits: int) -> DataFrame:
     """doc, runs: an array of (first window, windows)."""
-    byte = F.col("pos").bitwiseAND(F.lit((1 << BYTE_BITS) - 1))
-    return runs.groupBy(F.shiftright("pos", BYTE_BITS).alias("doc")).agg(F.collect_list(F.struct(byte.cast("int").alias("at"), F.col("n").alias("n"))).alias("runs"))
+    byte = F.col("pos").bitwiseAND(F.lit((1 << bits) - 1))
+    return runs.groupBy(F.shiftright("pos", bits).alias("doc")).agg(F.collect_list(F.struct(byte.cast("int").alias("at"), F.col("n").alias("n"))).alias("runs"))
 
 
 def with_runs(batch: pa.RecordBatch) -> Iterator[tuple[Any, bytes, np.ndarray, np.ndarray]]:
@@ -227,64 +238,30 @@ def with_runs(batch: pa.RecordBatch) -> Iterator[tuple[Any, bytes, np.ndarray, n
     at, n = runs.field("at").to_numpy().astype(np.int64), runs.field("n").to_numpy().astype(np.int64)
     for i in range(batch.num_rows):
         lo, hi = bounds[i], bounds[i + 1]
-        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode("utf-8", "surrogatepass"), at[lo:hi], n[lo:hi]
-
-
-def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every open window: the names of its halves, and its position; a task's repeats as -1 - position."""
-    half = LENGTH // 2
-    for batch in batches:
-        pos, one, two = [], [], []
-        for doc, data, first, n in with_runs(batch):
-            ends = np.cumsum(n)
-            at = np.unique(np.repeat(first - (ends - n), n) + np.arange(ends[-1]))
-            every = np.unique(np.concatenate([at, at + half]))
-            names = np.fromiter((xxhash.xxh3_64_intdigest(data[p : p + half]) for p in every.tolist()), dtype=np.uint64, count=len(every))
-            pos.append((doc << BYTE_BITS) + at)
-            one.append(names[np.searchsorted(every, at)])
-            two.append(names[np.searchsorted(every, at + half)])
-        if not pos:
-            continue
-        pos, one, two = (np.concatenate(x) for x in (pos, one, two))
-        order = np.lexsort((pos, two, one))
-        pos, one, two = pos[order], one[order], two[order]
-        again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
-        one = np.where(again, pos.astype(np.uint64) * _MIX[0], one)
-        columns = [one.view(np.int64), np.where(again, 0, two.view(np.int64)), np.where(again, -1 - pos, pos)]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["one", "two", "pos"])
-
-
-def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by both names and position to the repeats among them, as runs of one window."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        one, two, pos = (c.to_numpy() for c in batch.columns)
-        same = np.append(last == (one[0], two[0]), (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
-        last = (one[-1], two[-1])
-        found = np.where(pos < 0, -1 - pos, pos)[same | (pos < 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.ones(len(found), dtype=np.int32))], names=["pos", "n"])
+        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer().to_pybytes(), at[lo:hi], n[lo:hi]
 
 
 def cut_out(data: bytes, at: np.ndarray, n: np.ndarray) -> tuple[int, int, int, str]:
     """n_bytes, n_removed, n_spans, kept_sha256."""
     if not len(at):
         return len(data), 0, 0, hashlib.sha256(data).hexdigest()
-    edge = np.zeros(len(data) + 1, dtype=np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + n + LENGTH - 1, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-    return len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
+    order = np.argsort(at, kind="stable")
+    at, upto = at[order], np.maximum.accumulate((at + n + LENGTH - 1)[order])
+    new = np.append(True, at[1:] > upto[:-1])  # runs that touch are one
+    begins, ends = at[new].tolist(), upto[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)].tolist()
+    kept, view, done = hashlib.sha256(), memoryview(data), 0
+    for lo, hi in zip(begins, ends):
+        kept.update(view[done:lo])
+        done = hi
+    kept.update(view[done:])
+    return len(data), sum(ends) - sum(begins), len(begins), kept.hexdigest()
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    texts = numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    runs = written(repeat_runs(texts.select("doc", "text")))
-    joined = texts.join(by_document(runs), "doc", "left").select("id", "text", "runs")
+    texts, bits = numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    runs = written(repeat_runs(texts.select("doc", "text"), bits))
+    joined = texts.join(by_document(runs, bits), "doc", "left").select("id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,11 +274,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeat_runs(texts: DataFrame) -> DataFrame:
+def repeat_runs(texts: DataFrame, bits: int) -> DataFrame:
     """pos, n: runs of windows that start earlier too. texts: doc, text."""
-    rows = texts.mapInArrow(anchored, SHUFFLED_SQL)
+    rows = texts.mapInArrow(anchored(bits), SHUFFLED_SQL)
     runs = written(rows.repartition("group").sortWithinPartitions("group", "stretch", "pos").mapInArrow(sorted_out, "pos long, n int, repeat boolean"))
-    opened = texts.join(by_document(runs.filter("not repeat")), "doc").select("doc", "text", "runs")
-    windows = opened.mapInArrow(halves, "one long, two long, pos long")
-    found = windows.repartition("one", "two").sortWithinPartitions("one", "two", "pos").mapInArrow(later, "pos long, n int")
-    return runs.filter("repeat").select("pos", "n").unionByName(found)
+    opened = texts.join(by_document(runs.filter("not repeat"), bits), "doc")
+    return runs.filter("repeat").select("pos", "n").unionByName(repeats(opened, bits))

@@ -2,9 +2,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from tabulore.llm import doubling
 from tabulore.llm import suffix_dedup as module
 from tabulore.llm.suffix_dedup import suffix_dedup
 
@@ -60,19 +64,18 @@ def test_matches_brute_force(spark, seed, monkeypatch):
     assert got == brute_force(rows)
 
 
-def test_small_steps_and_salted_anchors(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [5, 1000])
+def test_small_steps_and_salted_anchors(monkeypatch, crowd):
     """Where texts are looked at in short reaches, tasks combine little, and most k-mers are salted."""
     rows = corpus(3, 25)
-    for name, value in (("REACH", 64), ("AT_ONCE", 40), ("SALT_FROM", 1), ("SALTS", 3)):
+    for name, value in (("REACH", 64), ("AT_ONCE", 40), ("SALT_FROM", 1), ("SALTS", 3), ("CROWD", crowd)):
         monkeypatch.setattr(module, name, value)
     batches = lambda f, given: list(f(iter(given)))
-    import pyarrow as pa
-
     texts = pa.RecordBatch.from_pydict({"doc": [d for d, _ in rows], "text": [t or "" for _, t in rows]})
-    table = pa.Table.from_batches(batches(module.anchored, [texts.slice(0, 10), texts.slice(10)])).sort_by([(c, "ascending") for c in ("group", "stretch", "pos")])
+    table = pa.Table.from_batches(batches(module.anchored(28), [texts.slice(0, 10), texts.slice(10)])).sort_by([(c, "ascending") for c in ("group", "stretch", "pos")])
     runs = pa.Table.from_batches(batches(module.sorted_out, table.to_batches(max_chunksize=17))).to_pylist()
     data = {d: (t or "").encode() for d, t in rows}
-    windows = lambda rs: [(r["pos"] >> module.BYTE_BITS, (r["pos"] & (1 << module.BYTE_BITS) - 1) + k) for r in rs for k in range(r["n"])]
+    windows = lambda rs: [(r["pos"] >> 28, (r["pos"] & (1 << 28) - 1) + k) for r in rs for k in range(r["n"])]
     at = lambda w: data[w[0]][w[1] : w[1] + 100]
     closed, opened = windows([r for r in runs if r["repeat"]]), windows([r for r in runs if not r["repeat"]])
     first, every = {}, Counter()
@@ -98,3 +101,57 @@ def test_ids_that_must_be_numbered(spark):
     assert {r.doc_id: r.n_removed for r in suffix_dedup(names).collect()} == {"a": 0, "b": 100, None: 0}
     assert suffix_dedup(docs.limit(0)).count() == 0
     assert suffix_dedup(docs.withColumn("doc", F.lit(1)).withColumn("runs", F.lit(2))).count() == len(odd)
+
+
+def test_first_ranks_are_xxh64():
+    data = random.Random(5).randbytes(500)
+    words = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    at = np.arange(len(data) - 31)
+    assert doubling.xxh64(words, at).tolist() == [xxhash.xxh64_intdigest(data[p : p + 32]) for p in at]
+
+
+def test_offsets_grow_to_the_threshold():
+    assert doubling.steps(32, 100) == [32, 36] and doubling.steps(13, 100) == [13, 26, 48]
+    assert doubling.offsets(0) == [0, 32, 36, 68] and doubling.offsets(1) == [0, 36] and doubling.offsets(2) == [0]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_reranking_over_batches(size):
+    """Each class of equal pairs gets one rank, unless it is alone."""
+    draw = random.Random(size)
+    rows = sorted((draw.randrange(4), draw.randrange(6), (draw.randrange(3) << 21) + (i << 1) + (draw.random() < 0.1)) for i in range(60))
+    table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("one", "two", "id"))})
+    got = {}
+    for batch in doubling.ranked(iter(table.to_batches(max_chunksize=size)), 7):
+        for row in batch.to_pylist():
+            which, rank = np.frombuffer(row["which"], "<i4"), np.frombuffer(row["rank"], "<i8")
+            got |= {(row["block"] << 20) + int(w): int(r) for w, r in zip(which, rank)}
+    seen = Counter((a, b) for a, b, _ in rows)
+    alive = [r for r in rows if seen[r[:2]] > 1 or r[2] & 1]
+    assert set(got) == {i >> 1 for _, _, i in alive}
+    assert len({got[i >> 1] for _, _, i in alive}) == len({r[:2] for r in alive})
+    assert len({(got[r[2] >> 1], r[:2]) for r in alive}) == len({r[:2] for r in alive})
+
+
+def test_hot_passage_over_many_partitions(spark, monkeypatch):
+    """A passage that a third of all documents hold, in small blocks and with other bytes at its ends."""
+    draw = random.Random(9)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(240))
+    text = lambda i: f"{draw.random()}" + (passage[draw.randrange(60) : 180 + draw.randrange(60)] if i % 3 == 0 else "".join(draw.choice("xyz ") for _ in range(150))) + f"{draw.random()}"
+    rows = [(i, text(i)) for i in range(600)]
+    monkeypatch.setattr(module, "SALT_FROM", 4)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+        assert Counter(tuple(r) for r in suffix_dedup(docs).collect()) == brute_force(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_text_that_is_cut_into_blocks():
+    """Blocks of few windows know as much of one another as whole texts do."""
+    text = "".join(random.Random(2).choice("ab") * 9 for _ in range(60))
+    texts = pa.RecordBatch.from_arrays([pa.array([3, 5]), pa.array([text, "x" + text]), pa.array([[{"at": 0, "n": 300}, {"at": 100, "n": 250}], [{"at": 1, "n": 400}]], pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))], names=["doc", "text", "runs"])
+    states = list(doubling.blocks(20)(iter([texts])))
+    at = np.concatenate([np.cumsum(np.frombuffer(s.column(1)[0].as_buffer(), "<i8")) for s in states])
+    assert at.tolist() == [(3 << 20) + p for p in range(350)] + [(5 << 20) + p for p in range(1, 401)]
