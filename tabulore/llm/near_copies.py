@@ -1,11 +1,14 @@
 """Near copies by exact similarity: texts whose sets of word shingles have a Jaccard similarity of SHARE or more.
 
-Two sets of a and b shingles are that similar only if they share 4/5 of the larger one. So in any one order of all
+Pairs come from two sides. SimHash groups (simhash.py, of shingles of WORDS words) give each text the first one of its
+group; fingerprints promise no similarity, so such a pair is a link only once it is counted. What fingerprints miss is found
+by prefixes: two sets of a and b shingles are that similar only if they share 4/5 of the larger one. So in any one order of all
 shingles, each set's first n - ceil(4n/5) + 1, its prefix, hold a shingle of the other's prefix: no pair is lost. The
 order is that of the hashes, with shingles that a bounded sample shows to be common last, so that few texts meet at
 one; the sample decides only how much is compared. Texts that meet are candidates if their sizes, and the places at
-which they hold the shingle, allow the similarity; it is then counted whole. Of more than CROWD texts at a shingle,
-each first meets the one with the fewest rarer shingles; then only texts of components still apart meet.
+which they hold the shingle, allow the similarity. Then bitmaps are compared, of about half a byte a shingle: the bits in which
+they differ are differing shingles, so they bound what is shared. What they allow is counted whole. Of more than CROWD
+texts at a shingle, each first meets the one with the fewest rarer shingles; then only texts of components still apart meet.
 
 Defined results: words are lowered and split as in simhash; shingles are 64-bit hashes. A text without words (or
 null) equals every other; one with fewer words than a shingle has one shingle, all its words. Of each component the
@@ -15,7 +18,7 @@ both one. Columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import cut, written
+from tabulore.llm.common import cut, lookup, written
 from tabulore.llm.components import components
+from tabulore.llm.simhash import simhash_groups
 
 WORDS, CROWD = 5, 64
 #: SHARE = PART / WHOLE, so that comparisons are of whole numbers.
@@ -185,39 +189,91 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A power of two of bits, four a shingle at least, of which each shingle sets one."""
+    bits = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    held = np.zeros(bits, dtype=np.uint8)
+    held[(tokens >> np.uint64(17)) & np.uint64(bits - 1)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def may_share(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
+    """Whether bitmaps of n and m shingles allow the similarity."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+    return WHOLE * most >= PART * (n + m - most)
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def met_with(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """node, other, with what is held of each as mine_ and theirs_; nodes with very many pairs meet theirs by broadcast."""
+    values = [c for c in held.columns if c != "node"]
+    for side, prefix in (("node", "mine_"), ("other", "theirs_")):
+        counts = pairs.groupBy(side).agg(F.count("*").alias("_rows"))
+        known = cut(counts.join(held.select(F.col("node").alias(side), *(F.col(c).alias(prefix + c) for c in values)), side))
+        pairs = lookup(pairs, known, side, "_rows")
+    return pairs
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """src, dst: the pairs (node, other) whose similarity, counted whole, is SHARE or more."""
-    pairs = cut(pairs.select("node", "other").distinct())
-    needed = pairs.select("node").union(pairs.select("other")).distinct()
+    pairs = cut(pairs.select("node", "other").filter("node != other").distinct())
+
+    def of_texts(pairs: DataFrame, run: Callable, schema: str) -> DataFrame:
+        nodes = few(pairs.select("node").union(pairs.select("other")).distinct())
+        return cut(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"]))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = map(shingles, batch.column(1).to_pylist())
+            rows = [(len(x), bitmap(x)) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["node", "n", "bits"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "held"])
 
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst, n, a, m, b = batch.columns
+            kept = [may_share(i, np.frombuffer(x.as_buffer(), np.uint8), j, np.frombuffer(y.as_buffer(), np.uint8)) for i, x, j, y in zip(n.to_pylist(), a, m.to_pylist(), b)]
+            yield pa.RecordBatch.from_arrays([src, dst], names=["node", "other"]).filter(pa.array(kept, pa.bool_()))
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             src, dst, a, b = batch.columns
             links = []
             for x, y in zip(a, b):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                links.append(WHOLE * shared >= PART * (len(both) - shared))
+                both = shared(x, y)
+                links.append(WHOLE * both >= PART * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([src, dst], names=["src", "dst"]).filter(pa.array(links, pa.bool_()))
 
-    held = cut(texts.join(few(needed), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, held binary").dropDuplicates(["node"]))
-    first = pairs.join(held, "node").withColumnRenamed("held", "mine")
-    both = first.join(held.select(F.col("node").alias("other"), F.col("held").alias("theirs")), "other")
-    return cut(both.select("node", "other", "mine", "theirs").mapInArrow(counted, "src long, dst long"))
+    first = met_with(pairs, of_texts(pairs, sketches, "node long, n long, bits binary"))
+    rest = cut(first.select("node", "other", "mine_n", "mine_bits", "theirs_n", "theirs_bits").mapInArrow(allowed, "node long, other long"))
+    both = met_with(rest, of_texts(rest, sets, "node long, held binary"))
+    return cut(both.select("node", "other", "mine_held", "theirs_held").mapInArrow(counted, "src long, dst long"))
+
+
+def by_fingerprint(texts: DataFrame, radius: int = 2) -> DataFrame:
+    """node, other: each text and the first of its SimHash group."""
+    groups = simhash_groups(texts.select("node", "text"), "node", radius=radius, words=WORDS)
+    return groups.select("node", F.col("component_id").alias("other"))
 
 
 def near_links(texts: DataFrame) -> DataFrame:
     """src, dst: nodes whose components are those of all pairs of texts as similar as SHARE. texts: node, text."""
     dealt = prefixes(texts).repartition("token").sortWithinPartitions("token", "node")
     found = written(dealt.mapInPandas(met, "token long, node long, n int, place int, other long"))
-    links = similar(found.filter("token is null"), texts)
+    links = similar(found.filter("token is null").select("node", "other").unionByName(by_fingerprint(texts)), texts)
     crowds = found.filter("token is not null").select("token", "node", "n", "place")
     if crowds.isEmpty():
         return links
