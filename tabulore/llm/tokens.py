@@ -1,10 +1,11 @@
 r"""Whole texts to token ids, in numpy and Arrow.
 
 A byte-level tokenizer cuts a text into pretokens by one fixed pattern and encodes each by itself; no pretoken joins
-a blank with what stands before it. So a text may be cut before every blank that follows something other than white
-space, and the ids of the pieces follow one another as the whole text's would. Arrow cuts a batch and numbers its
-distinct pieces; a piece that the bounded cache lacks is cut into pretokens, and each distinct pretoken is encoded
-once by the tokenizers library's model. A tokenizer of another kind encodes whole texts.
+a blank with what stands before it. So a text may be cut before any blank that follows something other than white
+space, and the ids of the pieces follow one another as the whole text's would. The pieces of a batch are offsets into its
+text, whose distinct ones Arrow numbers. A piece is a word, a word with marks behind it, or is cut into pretokens by the
+pattern; each distinct pretoken that the bounded cache lacks is encoded once by the tokenizers library's model. A tokenizer of
+another kind, and a text with the string of an added token, such as <|endoftext|>, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import chain, compress, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": Tr
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 END = "\n"
-#: At least what Python's white space is, in Arrow's syntax.
-BLANK_AFTER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
-CUT = re.compile(r"(?<=\S) ")
+#: Marks that are one pretoken behind a word, as many as stand there.
+MARKS = ".,;:!?\")]"
+#: Bytes that are white space, and bytes that end such a character of several bytes, behind the byte before.
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+MAY_BE_SPACE_BEHIND = np.isin(np.arange(256), [0xC2, 0x80, 0x81, 0x9A])
 _encoders: dict[str, Encoder] = {}
 
 
@@ -66,120 +69,145 @@ class Ids:
 
     def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these entries one after the other, and how many each has."""
-        length = self.length[codes]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.start[codes] - (ends - length), length) + np.arange(total)], length
+        return gathered(self.ids, self.start[codes], self.length[codes])
+
+
+def gathered(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(start - (ends - length), length) + np.arange(total)], length
+
+
+def strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
-    def __init__(self, path: str, most_pieces: int = 350_000) -> None:
+    def __init__(self, path: str, most_pretokens: int = 350_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         pre = parts.get("pre_tokenizer") or {}
         self.by_piece = parts.get("normalizer") is None and parts["model"]["type"] == "BPE" and all(pre.get(k) == v for k, v in PRE_TOKENIZER.items())
-        self.most_pieces = most_pieces
-        self.characters = byte_characters()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.most_pretokens = most_pretokens
+        characters = byte_characters()
+        self.character = np.array([ord(characters[b]) for b in range(256)], dtype="<u2")
         self.forget()
 
     def forget(self) -> None:
         """Empty the cache; a task does so at its end, for what its worker runs next."""
-        self.after_blank: dict[str, int] = {}  # places of pieces, without the blank before them
-        self.at_start: dict[str, int] = {}  # of pieces that begin a text
-        self.pieces = Ids()
+        self.pretoken_at: dict[str, int] = {"": 0, END: 1}
         self.pretokens = Ids()
-        if not self.by_piece:
-            return
-        end = [t.id for t in self.library.model.tokenize(self._spelled(END))]
-        self.pretokens.add(np.array(end, dtype=np.uint32), np.array([0, len(end)]))  # the place 0 has no ids
-        self.pretoken_at = {END: 1}
-
-    def _spelled(self, pretoken: str) -> str:
-        """With a character for each byte; visible ASCII is as it is."""
-        if pretoken.isascii() and pretoken.isprintable():
-            return pretoken.replace(" ", self.characters[32])
-        return pretoken.encode().decode("latin-1").translate(self.characters)
-
-    def _pretoken_codes(self, found: list[str]) -> np.ndarray:
+        if self.by_piece:
+            end = [t.id for t in self.library.model.tokenize(*self._spelled([END]))]
+            self.pretokens.add(np.array(end, dtype=np.uint32), np.array([0, len(end)]))
+
+    def _spelled(self, pretokens: list[str]) -> list[str]:
+        """With a character for each byte."""
+        between = chr(self.character[0xFF])  # no byte of UTF-8; the escape below stands for it
+        data = np.frombuffer("\udcff".join(pretokens).encode("utf-8", "surrogateescape"), dtype=np.uint8)
+        return self.character[data].tobytes().decode("utf-16-le").split(between)
+
+    def _codes(self, found: list[str], at_once: int = 4096) -> np.ndarray:
+        """The entries of pretokens."""
         codes = np.array(list(map(self.pretoken_at.get, found, repeat(-1))), dtype=np.int64)
         missed = np.flatnonzero(codes < 0).tolist()
         if missed:
             again = [found[i] for i in missed]
-            new = list(dict.fromkeys(again))
-            one, spelled = self.library.model.tokenize, self._spelled
-            ids = [[t.id for t in one(spelled(f))] for f in new]
+            new, tokenize, id_of = list(dict.fromkeys(again)), self.library.model.tokenize, attrgetter("id")
             self.pretoken_at.update(zip(new, range(self.pretokens.n, self.pretokens.n + len(new))))
-            self.pretokens.add(np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            for lo in range(0, len(new), at_once):
+                tokens = list(map(tokenize, self._spelled(new[lo : lo + at_once])))
+                lengths = np.array(list(map(len, tokens)), dtype=np.int64)
+                self.pretokens.add(np.array(list(map(id_of, chain.from_iterable(tokens))), dtype=np.uint32), lengths)
             codes[missed] = list(map(self.pretoken_at.__getitem__, again))
         return codes
 
-    def _piece_codes(self, place: dict[str, int], keys: list[str], before: str, distinct: bool) -> np.ndarray:
-        """Places of the pieces `before + key`. distinct: no key repeats."""
-        codes = np.array(list(map(place.get, keys, repeat(-1))), dtype=np.int64)
-        missed = np.flatnonzero(codes < 0).tolist()
-        if missed:
-            again = [keys[i] for i in missed]
-            new = again if distinct else list(dict.fromkeys(again))
-            # END between something and one blank is a pretoken by itself, so it can stand between such pieces
-            plain = [k[:1] > " " and END not in k and k[:1].isprintable() and not k[-1:].isspace() for k in new] if before else [False] * len(new)
-            new = [*compress(new, plain), *(k for k, p in zip(new, plain) if not p)]
-            n = sum(plain)
-            met = PRETOKEN.findall(before + (END + before).join(new[:n])) if n else []
-            counts = None
-            if n < len(new):
-                other = [PRETOKEN.findall(before + k) for k in new[n:]]
-                counts = np.fromiter(map(len, other), dtype=np.int64, count=len(other))
-            coded = self._pretoken_codes(met)
-            coded[coded == 1] = 0
-            stops = np.append(np.flatnonzero(coded == 0), len(coded)) if n else np.zeros(0, dtype=np.int64)
-            bounds = np.append(0, stops)
-            if counts is not None:
-                coded = np.concatenate([coded, self._pretoken_codes([f for o in other for f in o])])
-                bounds = np.append(bounds, bounds[-1] + np.cumsum(counts))
-            flat, n_ids = self.pretokens.of(coded)
-            ends = np.append(0, np.cumsum(n_ids))
-            place.update(zip(new, range(self.pieces.n, self.pieces.n + len(new))))
-            self.pieces.add(flat, np.diff(ends[bounds]))
-            codes[missed] = list(map(place.__getitem__, again))
-        return codes
+    def _by_pattern(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of the pretokens of all pieces, and the number of each piece's."""
+        # END between something and one blank is a pretoken by itself, so it can stand between such pieces
+        plain = np.array([k[:1] == " " < k[1:2] and k[1].isprintable() and END not in k and not k[-1:].isspace() for k in pieces], dtype=bool)
+        joined = END.join(compress(pieces, plain.tolist()))
+        codes = self._codes(PRETOKEN.findall(joined)) if joined else np.zeros(0, dtype=np.int64)
+        between = np.append(np.flatnonzero(codes == 1), len(codes))
+        found = [PRETOKEN.findall(k) for k in compress(pieces, (~plain).tolist())]
+        counts = np.empty(len(pieces), dtype=np.int64)
+        counts[plain] = (np.diff(between, prepend=-1) - 1) if plain.any() else 0
+        counts[~plain] = list(map(len, found))
+        out = np.empty(int(counts.sum()), dtype=np.int64)
+        mine = np.repeat(plain, counts)
+        out[mine] = np.delete(codes, between[:-1])
+        out[~mine] = self._codes(list(chain.from_iterable(found)))
+        return out, counts
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after the other, and how many each has."""
+        core = pc.utf8_rtrim(pieces, characters=MARKS)
+        bare = pc.utf8_ltrim(core, characters=" ")
+        sizes, cut, letters = (pc.binary_length(x).to_numpy() for x in (pieces, core, bare))
+        plain = pc.utf8_is_alpha(bare).to_numpy(zero_copy_only=False) & (cut - letters <= 1)
+        marked = plain & (cut < sizes)
+        other, by_pattern = self._by_pattern(strings(pieces.filter(pa.array(~plain))))
+        counts = 1 + marked.astype(np.int64)
+        counts[~plain] = by_pattern
+        ends = np.cumsum(counts)
+        codes = np.empty(int(ends[-1]), dtype=np.int64)
+        words = core.filter(pa.array(plain)).dictionary_encode()
+        at = (ends - counts)[plain]
+        codes[at] = self._codes(strings(words.dictionary))[words.indices.to_numpy()]
+        mask = pa.array(marked)
+        tails = [k[-n:] for k, n in zip(strings(pieces.filter(mask)), (sizes - cut)[marked].tolist())]
+        codes[ends[marked] - 1] = self._codes(tails)
+        codes[np.repeat(~plain, counts)] = other
+        flat, lengths = self.pretokens.of(codes)
+        upto = np.append(0, np.cumsum(lengths))
+        return flat, np.diff(upto[np.append(0, ends)])
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of each text's ids."""
+        texts = pa.array(texts, type=pa.large_string()) if isinstance(texts, list) else texts
+        whole = np.full(len(texts), not self.by_piece)
+        for content in self.added if self.by_piece else []:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode(texts)
+        own = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(strings(texts.filter(pa.array(whole))), add_special_tokens=False)]
+        ids, lengths = self._encode(texts.filter(pa.array(~whole)))
+        rest, own = iter(np.split(ids, np.cumsum(lengths)[:-1])), iter(own)
+        parts = [next(own if w else rest) for w in whole.tolist()]
+        return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        if not self.by_piece:
-            texts = texts if isinstance(texts, list) else texts.to_pylist()
-            ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            return np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(lengths.sum())), lengths
-        if max(len(self.after_blank), len(self.at_start), len(self.pretoken_at)) > self.most_pieces:
+        if len(self.pretoken_at) > self.most_pretokens:
             self.forget()
-        texts = pa.array(texts, type=pa.large_string()) if isinstance(texts, list) else texts
-        is_odd = pc.match_substring_regex(texts, BLANK_AFTER_SPACE)
-        where = np.flatnonzero(is_odd.to_numpy(zero_copy_only=False)).tolist()
-        odd = {i: CUT.split(t) for i, t in zip(where, texts.take(pa.array(where, pa.int64())).to_pylist())}
-        lists = pc.split_pattern(pc.if_else(is_odd, "", texts) if odd else texts, " ")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        pieces, firsts = lists.flatten(), offsets[:-1] - offsets[0]
+        buffer = texts.buffers()[2]
+        begins = np.frombuffer(texts.buffers()[1], dtype="<i8")[texts.offset : texts.offset + len(texts) + 1]
+        lo, hi = int(begins[0]), int(begins[-1])
+        if lo == hi:
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+        data = np.frombuffer(buffer, dtype=np.uint8)
+        cuts = np.flatnonzero(data[lo:hi] == 32) + lo
+        before = data[np.maximum(cuts - 1, lo)]
+        # not to cut is never wrong: behind the end of what may be white space of several bytes, the pattern decides
+        cuts = cuts[~(SPACES[before] | (before >= 0x80) & MAY_BE_SPACE_BEHIND[data[np.maximum(cuts - 2, lo)]])]
+        first = np.searchsorted(cuts, begins)
+        own = first[:-1][(first[:-1] < len(cuts)) & (cuts[np.minimum(first[:-1], len(cuts) - 1)] == begins[:-1])] if len(cuts) else first[:0]
+        if len(own):  # a text that begins with a blank begins a piece anyway
+            cuts = np.delete(cuts, own)
+            first = np.searchsorted(cuts, begins)
+        bounds = np.append(np.sort(np.concatenate([begins[:-1], cuts]), kind="stable"), hi)
+        pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), buffer)
         coded = pieces.dictionary_encode()
-        known = self._piece_codes(self.after_blank, coded.dictionary.to_pylist(), " ", True)[coded.indices.to_numpy()]
-        begins = pieces.take(pa.array(firsts)).to_pylist()
-        for i in odd:
-            begins[i] = odd[i][0]
-        known[firsts] = self._piece_codes(self.at_start, begins, "", False)
-        n_pieces = np.diff(offsets)
-        if odd:  # the rest of their pieces stands behind their first
-            rest = self._piece_codes(self.after_blank, [p for i in odd for p in odd[i][1:]], " ", False)
-            more = np.array([len(odd[i]) - 1 for i in odd], dtype=np.int64)
-            known = np.insert(known, np.repeat(firsts[list(odd)] + 1, more), rest)
-            n_pieces[list(odd)] += more
-        ids, length = self.pieces.of(known)
-        return ids, np.add.reduceat(length, np.cumsum(n_pieces) - n_pieces)
+        ids, lengths = self._pieces(coded.dictionary)
+        at = coded.indices.to_numpy()
+        ids, lengths = gathered(ids, (np.cumsum(lengths) - lengths)[at], lengths[at])
+        return ids, np.add.reduceat(lengths, first[:-1] + np.arange(len(texts)))
 
 
 @contextmanager
@@ -194,7 +222,7 @@ def without_gc() -> Iterator[None]:
             gc.enable()
 
 
-def encoded(path: str, batch: pa.RecordBatch, end_id: int, size: int = 1 << 22) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def encoded(path: str, batch: pa.RecordBatch, end_id: int, size: int = 1 << 23) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Of a batch (id, text), in parts of about so many bytes: ids of documents, token ids with end_id after each
     text, and the number of each text's."""
     texts = batch.column(1).cast(pa.large_string())

@@ -12,13 +12,11 @@ from tabulore.llm.packing import balance, pack, powers_of_two
 from tabulore.llm.tokens import Encoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [None, "", " ", "a", "a  b \n c\n\nd  ", " \n x", "don't  stop's\t\tx", "　 y \x1c z\x1c w\n é", "tab\t x\n\n  y", "THE!! a*** $$$ 12 345", "word " * 3000, "wörter ça ñ " * 300, "\n \n  \n", "x\n"]
+TEXTS = [None, "", " ", "a", "a  b \n c\n\nd  ", " \n x", "don't  stop's\t\tx", "　 y \x1c z\x1c w\n é", "tab\t x\n\n  y", "THE!! a*** $$$ 12 345", "word " * 3000, "wörter ça ñ " * 300, "\n \n  \n", "x\n", "<|endoftext|> at the start", "in <|endoftext|> the middle", "at the end <|endoftext|>", "<|endoftext|><|endoftext|>", "<| endoftext|>"]
 
 
 def library():
-    out = Tokenizer.from_file(PATH)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=150, deadline=None)
@@ -30,8 +28,24 @@ def test_encoder_equals_library(texts):
     assert ids.tolist() == [x for w in want for x in w]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "  ", "\n", "\u2003", "\u00a0", "\u3000", "\x85", "word", "Ünï", "don't", "x,y", "end.", '")', "!?", "7", "<|endoftext|>", "it's.", "\u0300", "日本", "\U0001f600"]), max_size=12).map("".join), max_size=8))
+def test_encoder_equals_library_on_words(texts):
+    ids, lengths = encoder(PATH).encode(texts)
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [x for w in want for x in w]
+
+
+def test_encoder_equals_library_on_documents(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    ids, lengths = Encoder(PATH, most_pretokens=500).encode(texts)
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_encoder_forgets_within_bounds():
-    small, texts = Encoder(PATH, most_pieces=3), [t or "" for t in TEXTS]
+    small, texts = Encoder(PATH, most_pretokens=3), [t or "" for t in TEXTS]
     for _ in range(3):
         ids, _ = small.encode(texts)
         assert ids.tolist() == [x for e in library().encode_batch(texts, add_special_tokens=False) for x in e.ids]
