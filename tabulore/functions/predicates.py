@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +30,13 @@ DATE_FORMATS = [
     ("%d/%b/%Y:%H:%M:%S %z", rf"^{_D}/{_B}/{_Y}:{_T}\s*[+-][0-9]{{2}}:?[0-9]{{2}}$", (3, 2, 1)),
     ("%Y%m%d", r"^\s*([0-9]{4})(0[1-9]|1[0-2])(0?[1-9]|[12][0-9]|3[01])$", (1, 2, 3)),
 ]
-FLAGS = ["leading_zero", "bool_word", "naive_bool", "i64", "f64", "clean_i64", "clean_f64"] + [f"date_{i}" for i in range(len(DATE_FORMATS))]
-#: How every date begins; most values are told by it at once.
+FLAGS = ["leading_zero", "bool_word", "naive_bool", "i64", "f64", "clean_i64", "clean_f64", "dateable"]
+#: How every date begins.
 DATE_START = r"^\s*(?:[0-9]{1,4}[-/]|[0-9]{1,2}\s*[A-Za-z]{3}|[A-Za-z]{3}\s*[0-9]|[0-9]{7,8}$)"
 
 
 def leading_zero(v: Column) -> Column:
-    return v.rlike("^0[0-9]")
+    return v.startswith("0") & F.substring(v, 2, 1).between("0", "9")
 
 
 def bool_word(v: Column) -> Column:
@@ -49,7 +52,12 @@ def is_i64(v: Column) -> Column:
 
 
 def is_f64(v: Column) -> Column:
-    return v.rlike(I64) | v.rlike(F64)
+    return v.rlike(F64)
+
+
+def dateable(v: Column) -> Column:
+    """Whether a date may begin so; most values are told by it at once."""
+    return F.length(v).between(5, 60) & v.rlike(DATE_START)
 
 
 def has_marks(v: Column) -> Column:
@@ -72,14 +80,26 @@ def matches_date(v: Column, pattern: str, groups: tuple[int, int, int]) -> Colum
 
 
 def with_flags(df: DataFrame, text: str) -> DataFrame:
-    """df with a boolean column for each of FLAGS. What several of them need is computed once, before them."""
+    """df with a boolean column for each of FLAGS. What several of them need is computed once, before them.
+
+    The formats of dates have a pass of their own, over the columns whose values are all dateable: with them the method that
+    Spark generates would be too long for the JVM to compile."""
     v = F.col(text)
-    may = F.length(v).between(5, 60) & v.rlike(DATE_START)
-    df = df.withColumns({"_may": F.coalesce(may, F.lit(False)), "_marks": has_marks(v), "_i64": is_i64(v), "_f64": is_f64(v)})
+    df = df.withColumns({"_marks": has_marks(v), "_i64": is_i64(v), "_f64": is_f64(v)})
     clean = [F.when(F.col("_marks"), test(stripped(v))).otherwise(F.col(plain)) for test, plain in ((is_i64, "_i64"), (is_f64, "_f64"))]
-    plain = [leading_zero(v), bool_word(v), naive_bool(v), F.col("_i64"), F.col("_f64"), *clean]
-    dates = [F.col("_may") & matches_date(v, pattern, groups) for _, pattern, groups in DATE_FORMATS]
-    return df.withColumns(dict(zip(FLAGS, [*plain, *dates]))).drop("_may", "_marks", "_i64", "_f64")
+    plain = [leading_zero(v), bool_word(v), naive_bool(v), F.col("_i64"), F.col("_f64"), *clean, dateable(v)]
+    return df.withColumns(dict(zip(FLAGS, plain))).drop("_marks", "_i64", "_f64")
+
+
+def with_dates(df: DataFrame, text: str, formats: Iterable[int]) -> DataFrame:
+    """df with a boolean column date_<i> for each of these formats."""
+    v = F.col(text)
+    return df.withColumns({f"date_{i}": dateable(v) & matches_date(v, *DATE_FORMATS[i][1:]) for i in formats})
+
+
+def formats_like(text: str) -> list[int]:
+    """The formats whose pattern a value has, whatever the calendar says."""
+    return [i for i, (_, pattern, _) in enumerate(DATE_FORMATS) if re.search(pattern, text.rstrip("\r\n\x85\u2028\u2029"), re.ASCII)]
 
 
 def blank_to_null(v: Column) -> Column:

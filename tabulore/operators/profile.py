@@ -2,8 +2,9 @@
 
 One pass aggregates flags, counts and an estimate of distinct values by (table, key, kind), so a task's output is a few rows a
 column. Exact distinct values are counted only for columns whose estimate is small; the first distinct samples of
-the others come from their first rows, of which each task passes on a bounded number (a window group limit), more of them if they
-repeat too much. What reaches the driver is of the size of the profile, and the cascade is decided there.
+the others come from a bounded stretch of rows, and if those repeat too much, from further stretches that begin at the next
+value unseen. Columns whose values all begin like dates are held against the formats that one of their samples fits.
+What reaches the driver is of the size of the profile, and the cascade is decided there.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ MIXED, NESTED = "mixed?", "nested?"
 MISSING_NOTE = "has missing values -> wrap in Option<T> / handle nulls"
 EMPTY_NOTE = "column is empty/all null"
 FLAGS = P.FLAGS
+#: Of a column, or of a path: table, key, and whether its values are objects.
+BY = ["table", "key", "objects"]
+Key = tuple[str, str, bool]
 
 
 @dataclass
@@ -36,6 +40,7 @@ class Values:
     total: int = 0
     n: int = 0
     flags: dict[str, int] = field(default_factory=lambda: dict.fromkeys(FLAGS, 0))
+    dates: dict[int, int] = field(default_factory=dict)
     kinds: dict[str, int] = field(default_factory=dict)
     estimate: int = 0
     unique: int | None = None
@@ -45,51 +50,62 @@ class Values:
         return self.flags[flag] == self.n
 
 
-def value_stats(leaves: DataFrame, n_samples: int) -> dict[tuple[str, str, bool], Values]:
+def value_stats(leaves: DataFrame, n_samples: int) -> dict[Key, Values]:
     """By (table, key, whether of objects)."""
     spark, want = leaves.sparkSession, max(1, n_samples)
     leaves = leaves.filter(~F.col("kind").isin(SLOT, HEADER, TYPES)).select("table", "key", "kind", "text", "rec", "seq")
     counts = [F.count("*").alias("total"), F.count("text").alias("n"), F.approx_count_distinct("text", 0.05).alias("estimate")]
     seen = P.with_flags(leaves, "text").groupBy("table", "key", "kind").agg(*counts, *(F.count_if(name).alias(name) for name in FLAGS))
-    out: dict[tuple[str, str, bool], Values] = defaultdict(Values)
+    out: dict[Key, Values] = defaultdict(Values)
     for row in seen.collect():
         v = out[(row["table"], row["key"], row["kind"] == OBJECT)]
         v.total, v.n, v.estimate = v.total + row["total"], v.n + row["n"], v.estimate + row["estimate"]
         v.kinds[row["kind"]] = row["n"]
         for name in FLAGS:
             v.flags[name] += row[name]
-    few = [k for k, v in out.items() if v.n and v.estimate <= FEW]
     leaves = leaves.filter("text is not null").withColumn("objects", F.col("kind") == OBJECT)
-    by = ["table", "key", "objects"]
 
-    def of(keys):
-        wanted = spark.createDataFrame(keys, "table string, key string, objects boolean")
-        return leaves.join(F.broadcast(wanted), by, "left_semi")  # as many rows as the profile
+    def known(rows: list[tuple], more: str = "") -> DataFrame:
+        """Rows about columns, as many as the profile has."""
+        return F.broadcast(spark.createDataFrame(rows, f"table string, key string, objects boolean{more}"))
 
-    def take(rows):
-        for row in rows:
-            v = out[(row["table"], row["key"], row["objects"])]
-            if row["text"] not in v.samples and len(v.samples) < want:
+    def take(found: DataFrame) -> None:
+        """found: text and first by column; the first ones become samples."""
+        ranked = found.withColumns({"rank": F.row_number().over(Window.partitionBy(*BY).orderBy("first")), "unique": F.count("*").over(Window.partitionBy(*BY))})
+        for row in sorted(ranked.filter(F.col("rank") <= want).collect(), key=lambda r: r["rank"]):
+            v = out[tuple(row[c] for c in BY)]
+            if len(v.samples) < want:
                 v.samples.append(row["text"])
+            if v.estimate <= FEW:
+                v.unique = row["unique"]
 
     # rows of tables without nesting are told apart by rec alone, which hash aggregation can take the least of
+    def firsts(rows: DataFrame, flat: bool) -> DataFrame:
+        return rows.groupBy(*BY, "text").agg((F.min("rec") if flat else F.min(F.struct("rec", "seq"))).alias("first"))
+
     for flat in (True, False):
-        if keys := [k for k in few if k[1].startswith("[") is not flat]:
-            found = of(keys).groupBy(*by, "text").agg((F.min("rec") if flat else F.min(F.struct("rec", "seq"))).alias("first"))
-            ranked = found.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy("first")), "unique": F.count("*").over(Window.partitionBy(*by))})
-            for row in sorted(ranked.filter(F.col("rank") <= want).collect(), key=lambda r: r["rank"]):
-                out[(row["table"], row["key"], row["objects"])].unique = row["unique"]
-                take([row])
-    many, first = [k for k, v in out.items() if v.estimate > FEW], max(64, 4 * want)
-    reach: int | None = 16 * first  # the first rows alone, while they are enough
-    while many:
-        some = of(many) if reach is None else of(many).filter(F.col("rec") < reach)
-        numbered = some.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("rec", "seq")))
-        for k in many:
-            out[k].samples = []
-        take(sorted(numbered.filter(F.col("rank") <= first).collect(), key=lambda r: r["rank"]))
-        many = [k for k in many if len(out[k].samples) < want and (reach is not None or first < out[k].n)]
-        first, reach = first * 16, None
+        if keys := [k for k, v in out.items() if v.n and v.estimate <= FEW and k[1].startswith("[") is not flat]:
+            take(firsts(leaves.join(known(keys), BY, "left_semi"), flat))
+        since, reach = {k: 0 for k, v in out.items() if v.estimate > FEW and k[1].startswith("[") is not flat}, max(1024, 16 * want)
+        while since:
+            new = leaves.join(known([(*k, r) for k, r in since.items()], ", since long"), BY)
+            if had := [(*k, text) for k in since for text in out[k].samples]:
+                new = new.join(known(had, ", text string"), [*BY, "text"], "left_anti")
+            take(firsts(new.filter("rec >= since and rec < since + " + str(reach)), flat))
+            if short := [k for k in since if len(out[k].samples) < want]:
+                # where the next stretch begins: the first row further on whose value isn't a sample yet
+                had = [(*k, text) for k in short for text in out[k].samples]
+                rest = leaves.join(known([(*k, since[k] + reach) for k in short], ", since long"), BY).filter("rec >= since")
+                rest = rest.join(known(had, ", text string"), [*BY, "text"], "left_anti") if had else rest
+                since = {tuple(r[c] for c in BY): r["rec"] for r in rest.groupBy(*BY).agg(F.min("rec").alias("rec")).collect()}
+            else:
+                since = {}
+    maybe = {k: v for k, v in out.items() if v.n and v.all("dateable") and not v.flags["leading_zero"]}
+    like = {k: formats for k, v in maybe.items() if (formats := P.formats_like(v.samples[0]))}
+    if formats := sorted({i for found in like.values() for i in found}):
+        dates = P.with_dates(leaves.join(known(list(like)), BY, "left_semi"), "text", formats)
+        for row in dates.groupBy(*BY).agg(*(F.count_if(f"date_{i}").alias(f"date_{i}") for i in formats)).collect():
+            out[tuple(row[c] for c in BY)].dates = {i: row[f"date_{i}"] for i in formats}
     return out
 
 
@@ -107,7 +123,7 @@ def cascade(v: Values, current: str) -> tuple[str, str]:
     if v.all("bool_word"):
         return "bool", "values are yes/no/true/false"
     for i, (name, _, _) in enumerate(P.DATE_FORMATS):
-        if v.all(f"date_{i}"):
+        if v.dates.get(i) == v.n:
             return "NaiveDate / DateTime", f'all values match date format "{name}"'
     for kind in ("i64", "f64"):
         if v.all(f"clean_{kind}"):

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 import posixpath
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,41 +16,48 @@ from pyspark.sql import functions as F
 
 from tabulore.operators.leaves import SCHEMA, record_leaves, table_leaves
 from tabulore.operators.profile import as_frame, profiles
+from tabulore.plans.shared import shared_folder
 from tabulore.sources import columnar, lines, records, registry, tables
 
 Profiles = dict[str, list[dict]]
+LOGS = ("common_log", "combined_log", "syslog", "syslog5424")
+
+
+def zstd():
+    try:
+        import zstandard
+    except ImportError as e:
+        raise ValueError("zstd input needs the zstandard library; install it with: pip install zstandard") from e
+    return zstandard
 
 
 def decompressed(spark: SparkSession, path: str, codec: str, logical: str) -> str:
-    """A plain copy in the shared folder, for readers of lines; it is made once, as a stream."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plain-")
-    fs_in, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{posixpath.abspath(path)}")
-    fs_out, to = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-    target = f"{to}/{uuid.uuid4().hex}"
-    fs_out.create_dir(target, recursive=True)
-    target = f"{target}/{posixpath.basename(logical)}"
-    with fs_in.open_input_stream(at, compression=None) as raw, fs_out.open_output_stream(target) as out:
-        try:
-            if codec == "gzip":
-                shutil.copyfileobj(gzip.GzipFile(fileobj=raw), out)
-            else:
-                import zstandard
-
-                zstandard.ZstdDecompressor().copy_stream(raw, out)
-        except Exception as e:
-            raise ValueError(f"failed to decompress {path}: {e}") from e
-    prefix = folder[: len(folder) - len(to)] if folder.endswith(to) else ""
-    return f"{prefix}{target}"
+    """A plain copy in the shared folder, for readers of lines and of Parquet; one executor writes it, as a stream."""
+    target = f"{shared_folder(spark)}/plain-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                fs, to = pyarrow.fs.FileSystem.from_uri(target)
+                fs.create_dir(to, recursive=True)
+                with fs.open_output_stream(f"{to}/{posixpath.basename(logical)}", compression=None) as out:
+                    try:
+                        if codec == "gzip":
+                            shutil.copyfileobj(gzip.GzipFile(fileobj=io.BytesIO(data)), out)
+                        else:
+                            zstd().ZstdDecompressor().copy_stream(io.BytesIO(data), out)
+                    except Exception as e:
+                        raise ValueError(f"failed to decompress {path}: {e}") from e
+                yield pd.DataFrame({"n": [len(data)]})
+
+    spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "n long").collect()
+    return f"{target}/{posixpath.basename(logical)}"
 
 
 def plain_bytes(data: bytes, codec: str | None) -> bytes:
     if codec == "gzip":
         return gzip.decompress(data)
-    if codec == "zstd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    return data
+    return zstd().ZstdDecompressor().decompressobj().decompress(data) if codec == "zstd" else data
 
 
 def decoded(spark: SparkSession, path: str, table: str, name: str, codec: str | None, nrows: int | None) -> DataFrame:
@@ -63,7 +70,7 @@ def decoded(spark: SparkSession, path: str, table: str, name: str, codec: str |
             for of, header, types, rows in tables.DECODERS[name](data, table, nrows):
                 yield from table_leaves(of, header, types, rows)
         else:
-            for of, found in records.DECODERS[name](data, table):
+            for of, found in records.avro(data, table, nrows) if name == "avro" else records.DECODERS[name](data, table):
                 kept = found if nrows is None or name in records.WHOLE else found[:nrows]
                 yield from record_leaves(of, enumerate(kept))
 
@@ -79,8 +86,8 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, nrows: int | No
     """Leaves, columns by table (None where the leaves have the headers), format name."""
     codec, logical = registry.codec_of(path)
     name, table = registry.detect(logical, fmt), registry.stem_of(logical)
-    by_line = name in ("csv", "tsv", "fixed_width", "common_log", "combined_log", "syslog", "syslog5424", "json")
-    if by_line and codec:
+    by_line = name in ("csv", "tsv", "fixed_width", *LOGS, "json")
+    if by_line and codec and not path.endswith(".gz"):  # which Spark reads itself
         path = decompressed(spark, path, codec, logical)
     if name in ("csv", "tsv"):
         leaves, columns = lines.csv(spark, path, table, nrows, delimiter or ("\t" if name == "tsv" else ","), one_line)
@@ -111,7 +118,13 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, nrows: int | No
 def profile_path(spark: SparkSession, path: str, samples: int = 3, **options) -> tuple[Profiles, str]:
     leaves, columns, name = load(spark, path, **options)
     spell = columnar.spelled if name == "parquet" else (lambda kind, text: text)
-    return profiles(leaves, samples, columns, spell), name
+    try:
+        return profiles(leaves, samples, columns, spell), name
+    except Exception as e:
+        said = lines.with_line_number(spark, path, e) if name in LOGS else e
+        if said is e:
+            raise
+        raise said from e
 
 
 def profile(spark: SparkSession, path: str, samples: int = 3, **options) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulore.functions import predicates as P
-from tabulore.operators.leaves import OBJECT, SLOT
-from tabulore.operators.profile import EMPTY_NOTE, MISSING_NOTE, as_frame, profiles
+from tabulore.operators.leaves import OBJECT, SLOT, spread
+from tabulore.operators.profile import as_frame, profiles
+from tabulore.plans import format_queries
 from tabulore.plans.dictionary import profile
 from tabulore.plans.render import SCHEMA_TYPES
 from tabulore.sources import columnar, lines
@@ -43,11 +44,17 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("*", F.col("_metadata.row_index").alias("rec"))
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("*", F.col("_metadata.row_index").alias("rec")))
 
 
 # SQL
 
+#: Spelled out, so that the SQL doesn't follow the engine's own names.
+FACILITIES_SQL = "'kernel', 'user', 'mail', 'daemon', 'auth', 'syslog', 'lpr', 'news', 'uucp', 'cron', 'authpriv', 'ftp', 'ntp', 'security', 'console', 'solaris-cron', 'local0', 'local1', 'local2', 'local3', 'local4', 'local5', 'local6', 'local7'"
+SEVERITIES_SQL = "'emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'informational', 'debug'"
+EMPTY_SQL, MISSING_SQL = "'column is empty/all null'", "'has missing values -> wrap in Option<T> / handle nulls'"
+DATES_SQL = ["%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y", "%d-%m-%Y", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%m-%d-%Y", "%d %b %Y", "%b %d, %Y", "%d/%b/%Y:%H:%M:%S %z", "%Y%m%d"]
+
 
 def text_sql(column: str, label: str) -> str:
     if label != "Timestamp":
@@ -75,7 +82,7 @@ def profile_sql(table: str, source: str, columns: list[tuple[str, str | None, st
     """source: a query with rn. columns: name, declared type, and the SQL of its text."""
     long = "\nUNION ALL\n".join(f"SELECT rn, {i} AS i, {text} AS t FROM src" for i, (_, _, text) in enumerate(columns))
     names = ", ".join(f"({i}, {quoted(name)}, {quoted(declared)})" for i, (name, declared, _) in enumerate(columns))
-    dates = " ".join(f"WHEN bool_and({date_sql('t', fmt)}) THEN {quoted(fmt)}" for fmt, _, _ in P.DATE_FORMATS)
+    dates = " ".join(f"WHEN bool_and({date_sql('t', fmt)}) THEN {quoted(fmt)}" for fmt in DATES_SQL)
     clean = STRIPPED_SQL.format("t")
     return f"""
 WITH src AS ({source}), names(i, name, declared) AS (VALUES {names}), long AS (
@@ -94,7 +101,7 @@ WITH src AS ({source}), names(i, name, declared) AS (VALUES {names}), long AS (
   FROM names JOIN a USING (i) LEFT JOIN s USING (i)), c AS (
   SELECT *, CASE WHEN n = 0 THEN 'String' WHEN lead THEN 'String' WHEN bw THEN 'bool' WHEN d IS NOT NULL THEN 'NaiveDate / DateTime' WHEN ci THEN 'i64' WHEN cf THEN 'f64'
       WHEN u <= 50 AND u / n < 0.05 THEN 'enum / category' ELSE 'String' END AS ideal_type,
-    CASE WHEN n = 0 THEN {quoted(EMPTY_NOTE)}
+    CASE WHEN n = 0 THEN {EMPTY_SQL}
       WHEN lead THEN 'leading zeros in raw values (likely an ID/code)' || CASE WHEN current_type IN ('i64', 'f64') THEN ' - a naive numeric parse already lost them' ELSE '' END
       WHEN bw THEN 'values are yes/no/true/false' WHEN d IS NOT NULL THEN 'all values match date format "' || d || '"'
       WHEN ci THEN CASE WHEN current_type = 'i64' THEN '' ELSE 'numeric strings' END
@@ -102,7 +109,7 @@ WITH src AS ({source}), names(i, name, declared) AS (VALUES {names}), long AS (
       WHEN u <= 50 AND u / n < 0.05 THEN 'low cardinality (' || u || ' unique values)' ELSE '' END AS note
   FROM b)
 SELECT {quoted(table)} AS table_name, CAST(i AS INTEGER) AS col_ord, name, current_type, ideal_type, '' AS description, CAST(missing_pct AS DOUBLE) AS missing_pct, sample_values,
-  CASE WHEN missing_pct > 0 THEN CASE WHEN note = '' THEN '' ELSE note || '; ' END || {quoted(MISSING_NOTE)} ELSE note END AS notes
+  CASE WHEN missing_pct > 0 THEN CASE WHEN note = '' THEN '' ELSE note || '; ' END || {MISSING_SQL} ELSE note END AS notes
 FROM c"""
 
 
@@ -181,7 +188,8 @@ def flag_query(names: list[str]) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = events(spark, sf_dir).selectExpr("stack(" + str(len(STRINGS)) + ", " + ", ".join(f"'{n}', {s}" for n, s, _ in STRINGS) + ") AS (name, t)").filter("t is not null")
-        return P.with_flags(rows, "t").groupBy("name").agg(*(F.count_if(n).alias(n) for n in names))
+        flagged = P.with_dates(rows, "t", [int(n[5:]) for n in names]) if names[0].startswith("date_") else P.with_flags(rows, "t")
+        return flagged.groupBy("name").agg(*(F.count_if(n).alias(n) for n in names))
 
     return run
 
@@ -197,7 +205,7 @@ FLAG_QUERIES = {
     "bool_word": {"bool_word": BOOL_SQL.format("t"), "naive_bool": "lower(t) IN ('true', 'false')"},
     "numeric_strict": {"i64": I64_SQL.format("t"), "f64": F64_SQL.format("t")},
     "currency_strip": {"clean_i64": I64_SQL.format(CLEAN), "clean_f64": F64_SQL.format(CLEAN)},
-    "date_match": {f"date_{i}": date_sql("t", fmt) for i, (fmt, _, _) in enumerate(P.DATE_FORMATS)},
+    "date_match": {f"date_{i}": date_sql("t", fmt) for i, fmt in enumerate(DATES_SQL)},
 }
 
 # JSON
@@ -267,8 +275,8 @@ WEB_SQL = [
 ]
 WEB_SQL = [(n, s.replace("10 + event_id % 50", "CAST(10 + event_id % 50 AS VARCHAR)")) for n, s in WEB_SQL]
 PRI_SQL = [
-    ("facility", "CASE (event_id % 200) // 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(lines.FACILITIES)) + " ELSE CAST((event_id % 200) // 8 AS VARCHAR) END"),
-    ("severity", "CASE (event_id % 200) % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(lines.SEVERITIES)) + " END"),
+    ("facility", f"CASE WHEN (event_id % 200) // 8 < 24 THEN [{FACILITIES_SQL}][(event_id % 200) // 8 + 1] ELSE CAST((event_id % 200) // 8 AS VARCHAR) END"),
+    ("severity", f"[{SEVERITIES_SQL}][(event_id % 200) % 8 + 1]"),
 ]
 LINE_SQL = {
     "log_common": WEB_SQL,
@@ -326,7 +334,7 @@ def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_pct(spark, sf_dir).filter("missing_pct = 0").select("name")
 
 
-SCHEMA_CASE = "CASE ideal_type " + " ".join(f"WHEN {quoted(k)} THEN '{v[0]}'" for k, v in SCHEMA_TYPES.items()) + " END"
+SCHEMA_CASE = format_queries.KINDS
 
 
 def holes_sql() -> str:
@@ -342,6 +350,7 @@ def queries() -> dict[str, Query]:
     out |= {name: flag_query(list(flags)) for name, flags in FLAG_QUERIES.items()}
     out |= {name: line_query(name) for name in LINES}
     out |= {"sample_values": sample_values, "cardinality_enum": cardinality_enum}
+    out |= format_queries.queries()
     return out | {"facility_severity": facility_severity, "fixed_width": fixed_width, "json_schema_properties": schema_properties, "required_columns": required_columns}
 
 
@@ -359,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
     out["naive_type"] = profile_sql("strings", EVENTS_SQL, [(n, None, d) for n, _, d in STRINGS])
     out |= {name: flag_sql(flags) for name, flags in FLAG_QUERIES.items()}
     out |= {name: line_sql(name) for name in LINES}
+    out |= format_queries.oracle_sql(profile_sql)
     out["facility_severity"] = FACILITY_SQL
     out["fixed_width"] = profile_sql("fixed", EVENTS_SQL, [(n, None, d) for n, _, _, d in WIDE])
     out["json_schema_properties"] = f"SELECT name, {SCHEMA_CASE} AS type, CASE WHEN ideal_type = 'NaiveDate / DateTime' THEN 'date-time' END AS format FROM ({table_sql('orders')})"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulore.functions.text import shortest
-from tabulore.operators.leaves import COLUMNS, HEADER, SLOT, TYPES, column_leaves, record_leaves
+from tabulore.operators.leaves import COLUMNS, HEADER, SLOT, TYPES, column_leaves, record_leaves, spread
 from tabulore.operators.profile import NESTED
 from tabulore.sources.lines import text_records
 
@@ -81,6 +81,7 @@ def frame_leaves(df: DataFrame, table: str, rec: Column | None = None) -> tuple[
     scalars leave the JVM, as JSON."""
     fields = df.schema.fields
     df = df.withColumn("rec", F.monotonically_increasing_id() if rec is None else rec)
+    df = df if rec is None else spread(df)
     values = [F.lit(None).cast("string") if label(f.dataType) == NESTED else text_of(F.col(f"`{f.name}`"), f.dataType) for f in fields]
     parts = [column_leaves(table, df.select("rec", F.array(*values).alias("values")))] if any(label(f.dataType) != NESTED for f in fields) else []
     nested = [f for f in fields if label(f.dataType) == NESTED]

@@ -19,9 +19,15 @@ COMMON = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}|-) (\d+|-)'
 COMBINED = COMMON + r' "([^"]*)" "([^"]*)"$'
 RFC5424 = r"(?s)^<(\d{1,3})>(\d+) (\S+) (\S+) (\S+) (\S+) (\S+) (-|\[[^\]]*\]) ?(.*)$"
 RFC3164 = r"(?s)^<(\d{1,3})>([A-Za-z]{3}\s+\d{1,2}\s\d{2}:\d{2}:\d{2}) (\S+) ([^:\[\s]+)(?:\[(\d+)\])?: ?(.*)$"
-FACILITIES = "kernel user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp security console solaris-cron local0 local1 local2 local3 local4 local5 local6 local7".split()
-SEVERITIES = "emergency alert critical error warning notice informational debug".split()
-WEB = "host ident authuser timestamp method path protocol status bytes".split()
+FACILITIES = (
+    "kernel", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "cron", "authpriv", "ftp", "ntp", "security", "console", "solaris-cron",
+    "local0", "local1", "local2", "local3", "local4", "local5", "local6", "local7",
+)
+SEVERITIES = ("emergency", "alert", "critical", "error", "warning", "notice", "informational", "debug")
+WEB = ("host", "ident", "authuser", "timestamp", "method", "path", "protocol", "status", "bytes")
+WEB_MORE = ("referer", "user_agent")
+SYSLOG_3164 = ("facility", "severity", "timestamp", "hostname", "tag", "pid", "message")
+SYSLOG_5424 = ("facility", "severity", "version", "timestamp", "hostname", "app_name", "procid", "msgid", "structured_data", "message")
 
 #: No line has it, so groups may be taken apart at it.
 BETWEEN = "\ue000\x01\ue000"
@@ -34,6 +40,21 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select("rec", F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
+#: What an error says of a line that doesn't fit; ROW_BITS as in monotonically_increasing_id.
+BAD_LINE, ROW_BITS = r"line (\d+) (doesn't match [^:]+: [^\n]*)", 33
+
+
+def with_line_number(spark: SparkSession, path: str, error: Exception) -> Exception:
+    """An error about a line of a file that is read in parts, with the line's number in the file: the lines of the parts
+    before are counted only now."""
+    found = re.search(BAD_LINE, str(error))
+    if not found:
+        return error
+    part, row = (int(found[1]) - 1) >> ROW_BITS, (int(found[1]) - 1) & (1 << ROW_BITS) - 1
+    before = lines(spark, path).filter(F.shiftright("rec", ROW_BITS) < part).count() if part else 0
+    return ValueError(f"line {before + row + 1} {found[2]}")
+
+
 def filled(text: DataFrame, nrows: int | None) -> DataFrame:
     text = text.filter(~F.col("value").rlike(r"(?U)^\s*$"))
     return text if nrows is None else text.limit(nrows)
@@ -68,15 +89,15 @@ def fixed_width(text: DataFrame, table: str, nrows: int | None, widths: list[int
     return column_leaves(table, body), [(name, None) for name in head["values"]]
 
 
-def parsed(text: DataFrame, table: str, nrows: int | None, pattern: str, said: str, names: list[str], values: Callable[[Callable[[int], Column]], list[Column]]) -> tuple[DataFrame, Columns]:
+def parsed(text: DataFrame, table: str, nrows: int | None, pattern: str, said: str, names: tuple[str, ...], values: Callable[[Callable[[int], Column]], list[Column]]) -> tuple[DataFrame, Columns]:
     """Lines that fit the pattern, whose groups values() gets by number; another line fails the run, with its number.
 
-    One replacement takes all groups of a line at once."""
+    One replacement takes all groups of a line at once; they are exploded, or Spark would repeat it for each use."""
     text = filled(text, nrows)
     count = re.compile(pattern).groups
     groups = F.split(F.regexp_replace("value", pattern, BETWEEN.join(f"${i}" for i in range(1, count + 1))), BETWEEN, -1)
     number = F.concat(F.lit("line "), (F.col("rec") + 1).cast("string"), F.lit(f" doesn't match {said}: "), F.col("value"))
-    text = text.select("rec", F.when(F.col("value").rlike(pattern), groups).otherwise(F.raise_error(number)).alias("groups"))
+    text = text.select("rec", F.explode(F.array(F.when(F.col("value").rlike(pattern), groups).otherwise(F.raise_error(number)))).alias("groups"))
     return column_leaves(table, text.select("rec", F.array(*values(lambda i: F.col("groups")[i - 1])).alias("values"))), [(name, None) for name in names]
 
 
@@ -87,11 +108,11 @@ def weblog(text: DataFrame, table: str, nrows: int | None, combined: bool) -> tu
         out = [*(dash_to_null(part(i)) for i in (1, 2, 3)), part(4), *(words[i] for i in range(3)), dash_to_null(part(6)), dash_to_null(part(7))]
         return out + [dash_to_null(part(8)), dash_to_null(part(9))] if combined else out
 
-    names = WEB + (["referer", "user_agent"] if combined else [])
+    names = WEB + (WEB_MORE if combined else ())
     return parsed(text, table, nrows, COMBINED if combined else f"{COMMON}$", f"{'Combined' if combined else 'Common'} Log Format", names, values)
 
 
-def named(number: Column, names: list[str]) -> Column:
+def named(number: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(F.try_element_at(F.array(*map(F.lit, names)), (number + 1).cast("int")), number.cast("string"))
 
 
@@ -103,10 +124,7 @@ def syslog(text: DataFrame, table: str, nrows: int | None, rfc5424: bool) -> tup
             return [*decoded, part(2), part(3), *(dash_to_null(part(i)) for i in (4, 5, 6, 7, 8)), part(9)]
         return [*decoded, part(2), part(3), part(4), F.nullif(part(5), F.lit("")), part(6)]
 
-    if rfc5424:
-        names = "facility severity version timestamp hostname app_name procid msgid structured_data message".split()
-    else:
-        names = "facility severity timestamp hostname tag pid message".split()
+    names = SYSLOG_5424 if rfc5424 else SYSLOG_3164
     return parsed(text, table, nrows, RFC5424 if rfc5424 else RFC3164, f"syslog RFC {'5424' if rfc5424 else '3164'}", names, values)
 
 
@@ -140,10 +158,9 @@ def text_records(table: str, rows: DataFrame) -> DataFrame:
 
 
 def starts_with_array(spark: SparkSession, path: str) -> bool:
-    for row in lines(spark, path).limit(1000).sort("rec").toLocalIterator():
-        if row["value"].strip():
-            return row["value"].lstrip()[0] == "["
-    return False
+    """Whether the first line that isn't blank begins an array; parts of the file are read in order until there is one."""
+    first = filled(lines(spark, path), None).select("value").limit(1).first()
+    return first is not None and first["value"].lstrip().startswith("[")
 
 
 def json_lines(spark: SparkSession, path: str, table: str, nrows: int | None) -> tuple[DataFrame, Columns]:

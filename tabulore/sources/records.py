@@ -185,7 +185,8 @@ class Avro(Bytes):
                 self.long()
             yield from range(abs(n))
 
-    def records(self) -> list[Any]:
+    def records(self, most: int | None = None) -> list[Any]:
+        """The first `most`; what stands behind the block that has them isn't looked at."""
         if self.take(4) != b"Obj\x01":
             raise ValueError("not an Avro container file")
         meta = {}
@@ -194,11 +195,13 @@ class Avro(Bytes):
             meta[key] = self.take(self.long())
         mark, out = self.take(16), []
         schema, codec = json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode()
-        while self.more():
+        while self.more() and (most is None or len(out) < most):
             n, raw = self.long(), self.take(self.long())
             block = Avro(self.inflated(raw, codec))
             block.named = self.named
-            out += [block.read(schema) for _ in range(n)]
+            out += [block.read(schema) for _ in range(n if most is None else min(n, most - len(out)))]
+            if most is not None and len(out) == most:
+                break
             if self.take(16) != mark:
                 raise ValueError("an Avro block doesn't end with the file's mark")
         return out
@@ -283,8 +286,8 @@ class Avro(Bytes):
         raise ValueError(f"Avro type {kind!r}")
 
 
-def avro(data: bytes, table: str) -> Tables:
-    found = Avro(data).records()
+def avro(data: bytes, table: str, nrows: int | None = None) -> Tables:
+    found = Avro(data).records(nrows)
     if not all(isinstance(r, dict) for r in found):
         raise ValueError("an Avro file of something other than records")
     return [(table, found)]

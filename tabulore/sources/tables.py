@@ -7,11 +7,9 @@ from __future__ import annotations
 
 import io
 import math
-import os
 import re
 import sqlite3
 import struct
-import tempfile
 import zipfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -216,21 +214,18 @@ def _stored(value: Any) -> tuple[str | None, str | None]:
 
 
 def sqlite(data: bytes, table: str, nrows: int | None) -> list[Table]:
-    with tempfile.TemporaryDirectory() as folder:  # the library reads files; this one lives as long as the task reads it
-        path = os.path.join(folder, "held.sqlite")
-        with open(path, "wb") as f:
-            f.write(data)
-        with sqlite3.connect(path) as held:
-            held.text_factory = lambda b: b.decode("utf-8", "replace")
-            names = [n for (n,) in held.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
-            if not names:
-                raise ValueError("the database has no tables")
-            out = []
-            for name in names:
-                quoted = '"' + name.replace('"', '""') + '"'
-                found = held.execute(f"SELECT * FROM {quoted}" + ("" if nrows is None else f" LIMIT {int(nrows)}"))
-                header = [d[0] for d in found.description]
-                out.append((name, header, [MIXED] * len(header), iter([[_stored(v) for v in row] for row in found])))
+    held = sqlite3.connect(":memory:")
+    held.deserialize(data)
+    held.text_factory = lambda b: b.decode("utf-8", "replace")
+    names = [n for (n,) in held.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
+    if not names:
+        raise ValueError("the database has no tables")
+    out = []
+    for name in names:
+        quoted = '"' + name.replace('"', '""') + '"'
+        found = held.execute(f"SELECT * FROM {quoted}" + ("" if nrows is None else f" LIMIT {int(nrows)}"))
+        header = [d[0] for d in found.description]
+        out.append((name, header, [MIXED] * len(header), ([_stored(v) for v in row] for row in found)))  # a row at a time
     return out
 
 
@@ -316,30 +311,43 @@ def stata(data: bytes, table: str, nrows: int | None) -> list[Table]:
     return [(table, header, types, rows)]
 
 
-def sas7bdat(data: bytes, table: str, nrows: int | None) -> list[Table]:
-    import pandas as pd
+#: How the names of SAS's formats of dates, of moments and of times of day begin, the longest first.
+SAS_MOMENTS = ("DATETIME", "DATEAMPM", "DTDATE", "E8601DT", "B8601DT", "MDYAMPM", "NLDATM")
+SAS_TIMES = ("TIME", "TOD", "HHMM", "HOUR", "MMSS", "E8601TM", "B8601TM", "NLTIM")
+SAS_DATES = ("DATE", "DAY", "DDMMYY", "MMDDYY", "YYMMDD", "JULIAN", "MONYY", "WEEKDATE", "WORDDATE", "YYMM", "YYQ", "YEAR", "E8601DA", "B8601DA", "NLDATE")
+SAS_EPOCH = datetime(1960, 1, 1)
 
-    frame = pd.read_sas(io.BytesIO(data), format="sas7bdat", encoding="utf-8")
-    frame = frame if nrows is None else frame.head(max(1, nrows))
 
-    def kind(column) -> str:
-        if str(column.dtype).startswith("datetime64"):
-            midnight = column.dropna()
-            return "Date" if len(midnight) and (midnight == midnight.dt.normalize()).all() else "Timestamp"
-        return "f64" if column.dtype.kind in "fiu" else "String"
+def sas_kind(numeric: bool, form: str) -> str:
+    for kind, names in (("Timestamp", SAS_MOMENTS), ("Time", SAS_TIMES), ("Date", SAS_DATES)):
+        if numeric and form.upper().startswith(names):
+            return kind
+    return "f64" if numeric else "String"
 
-    types = [kind(frame[c]) for c in frame.columns]
 
-    def text(value: Any, of: str) -> str | None:
-        if value is None or value is pd.NaT or isinstance(value, float) and math.isnan(value):
-            return None
-        if of in ("Date", "Timestamp"):
-            return value.strftime("%Y-%m-%d" if of == "Date" else "%Y-%m-%d %H:%M:%S")
-        if of == "f64":
-            return plain(float(value))
+def sas_text(value: Any, kind: str) -> str | None:
+    """Numbers count days, or seconds, since 1960, or seconds since midnight."""
+    if value is None or isinstance(value, float) and math.isnan(value):
+        return None
+    if kind == "String":
         return value.hex() if isinstance(value, bytes) else str(value).strip() or None
+    if kind == "f64":
+        return plain(float(value))
+    if kind == "Date":
+        return (SAS_EPOCH + timedelta(days=math.floor(value))).strftime("%Y-%m-%d")
+    if kind == "Timestamp":
+        return (SAS_EPOCH + timedelta(seconds=math.floor(value))).strftime("%Y-%m-%d %H:%M:%S")
+    seconds = int(value) if 0 <= value < 86400 else 0
+    return f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
+
+
+def sas7bdat(data: bytes, table: str, nrows: int | None) -> list[Table]:
+    from pandas.io.sas.sas7bdat import SAS7BDATReader
 
-    rows = ([text(v, k) for v, k in zip(row, types)] for row in frame.itertuples(index=False, name=None))
+    with SAS7BDATReader(io.BytesIO(data), convert_dates=False, encoding="utf-8") as reader:
+        frame = reader.read(nrows=None if nrows is None else max(1, nrows))
+        types = [sas_kind(frame[c].dtype.kind in "fiu", str(form or "")) for c, form in zip(frame.columns, reader.column_formats)]
+    rows = ([sas_text(v, k) for v, k in zip(row, types)] for row in frame.itertuples(index=False, name=None))
     return [(table, [str(c) for c in frame.columns], types, rows)]
 
 

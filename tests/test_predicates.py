@@ -13,7 +13,7 @@ from tabulore.operators.leaves import column_leaves, compact, pool, scalar
 
 def flags_of(spark, values):
     rows = spark.createDataFrame([(v,) for v in values], "t string")
-    return {r.t: r for r in P.with_flags(rows, "t").collect()}
+    return {r.t: r for r in P.with_dates(P.with_flags(rows, "t"), "t", range(len(P.DATE_FORMATS))).collect()}
 
 
 def values_of(spark, texts):
