@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,10 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulore.plans.shared import shared_folder
+
 #: ASCII white space, as in the class [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-#: One row in so many makes a key frequent; so there are fewer frequent keys than this.
-FREQUENT_ONE_IN = 512
+#: A key is frequent if one row in so many has it, so there are fewer frequent keys: between the two, such that others have
+#: a million rows at most, and a ten-thousandth of all rows beyond 10 ** 10 rows. 10,000 is the most that freqItems takes.
+LEAST_FREQUENT, MOST_FREQUENT, RARE_ROWS = 512, 10_000, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+    """The folder that driver and executors share, which checkpoints use too."""
+    found = shared_folder(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
-    # a path without a scheme is one of the cluster's default file system
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,12 +57,16 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+def frequent_one_in(rows: int) -> int:
+    return min(MOST_FREQUENT, max(LEAST_FREQUENT, rows // RARE_ROWS))
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, count: str, most: int = MOST_FREQUENT) -> DataFrame:
     """big left joined with small, which has a row for each non-null key and in `count` the number of rows that
-    the key has in big. Frequent keys, of which there are fewer than FREQUENT_ONE_IN, are joined by broadcast, so
+    the key has in big. Frequent keys, of which there are fewer than `most`, are joined by broadcast, so
     no task gets all the rows of one; the rest are shuffled. `count` is dropped."""
     total = small.agg(F.sum(count)).first()[0] or 0
-    at_least = max(1, total // FREQUENT_ONE_IN)
+    at_least = max(1, total // min(most, frequent_one_in(total)))
     often = small.filter(F.col(count) > at_least).drop(count)
     rare = small.filter(F.col(count) <= at_least).drop(count)
     met = big.join(F.broadcast(often), key)

@@ -7,7 +7,9 @@ the probabilities of three documents move along the null space of the constraint
 documents by a hash of the id; a block leaves at most two documents undecided; they are gathered into blocks again,
 until a source has one block. Only its last two, the landing problem, are rounded, to the nearest total of words.
 
-The draw depends on ids, sizes and the seed alone, so reruns agree, however the table is partitioned.
+The draw depends on ids, sizes and the seed alone, so reruns agree, however the table is partitioned. Rows that repeat an
+id are alike but for their sizes; those of an id with over BLOCK rows are counted by size and numbered, and so
+dealt over the blocks.
 
 Defined results: a null text has size 0; a null source is a source, the last. Repeated rows are drawn one by one. With
 no words at all nothing is taken. An empty table gives no rows. Only the id column is kept by mix().
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import cut, in_groups
+from tabulore.llm.common import LEAST_FREQUENT, cut, in_groups
 
 BLOCK, EPSILON = 20_000, 1e-9
 
@@ -89,8 +91,24 @@ def land(sizes: list[float], chances: list[float], draw: random.Random) -> list[
     return out
 
 
+def numbered(units: DataFrame) -> DataFrame:
+    """units with `copy`: 0, but for ids with more than BLOCK rows, which a Misra-Gries summary (freqItems) names."""
+    name = F.coalesce(F.concat(F.lit("="), "id"), F.lit("null"))
+    units = units.withColumn("name", name)
+    candidates = units.freqItems(["name"], 1 / LEAST_FREQUENT).select(F.explode("name_freqItems").alias("name")).distinct()
+    often = cut(units.join(F.broadcast(candidates), "name").groupBy("name").count().filter(F.col("count") > BLOCK).select("name"))
+    if often.isEmpty():
+        return units.drop("name").withColumn("copy", F.lit(0).cast("long"))
+    columns = [c for c in units.columns if c != "name"]
+    alone = units.join(F.broadcast(often), "name", "left_anti").select(*columns, F.lit(0).cast("long").alias("copy"))
+    counted = units.join(F.broadcast(often), "name").groupBy(*columns).count()
+    parts = counted.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(BLOCK).cast("long")))).repartition("id", "size", "at")
+    return alone.unionByName(parts.select(*columns, F.explode(F.sequence(F.col("at"), F.least(F.col("at") + BLOCK, F.col("count")) - 1)).alias("copy")))
+
+
 def draws(units: DataFrame, documents: dict[int, int], seed: int) -> DataFrame:
     """units (id, source, size, chance) with `extra` 0 or 1. documents: how many units each source has."""
+    units = numbered(units)
     schema = units.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     blocks, level, done = {s: -(-n // BLOCK) for s, n in documents.items()}, 0, None
 
@@ -107,9 +125,11 @@ def draws(units: DataFrame, documents: dict[int, int], seed: int) -> DataFrame:
 
     while True:
         last = {s for s, n in blocks.items() if n <= 1}
-        by_source = F.element_at(F.create_map(*(x for s, n in blocks.items() for x in (F.lit(s), F.lit(max(1, n))))), F.col("source"))
-        block = F.shiftleft(F.col("source").cast("long"), 32) + F.pmod(F.xxhash64("id", F.lit(level)), by_source)
-        moved = cut(in_groups(units.withColumn("block", block), "block", ["id", "size", "chance"], run_at(level, last), schema))
+        # a row for each source
+        by_source = F.broadcast(units.sparkSession.createDataFrame([(s, max(1, n)) for s, n in blocks.items()], "source int, blocks long"))
+        block = F.shiftleft(F.col("source").cast("long"), 32) + F.pmod(F.xxhash64("id", "copy", F.lit(level)), F.col("blocks"))
+        dealt = units.join(by_source, "source").withColumn("block", block).select(*units.columns, "block")
+        moved = cut(in_groups(dealt, "block", ["id", "size", "chance", "copy"], run_at(level, last), schema))
         whole = moved.filter(F.col("chance").isin(0.0, 1.0))
         done = whole if done is None else done.unionByName(whole)
         units = moved.filter(~F.col("chance").isin(0.0, 1.0))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import cut, lookup, written
+from tabulore.llm.common import LEAST_FREQUENT, cut, lookup, written
 from tabulore.llm.components import components
 from tabulore.llm.simhash import simhash_groups
 
@@ -218,7 +218,7 @@ def met_with(pairs: DataFrame, held: DataFrame) -> DataFrame:
     for side, prefix in (("node", "mine_"), ("other", "theirs_")):
         counts = pairs.groupBy(side).agg(F.count("*").alias("_rows"))
         known = cut(counts.join(held.select(F.col("node").alias(side), *(F.col(c).alias(prefix + c) for c in values)), side))
-        pairs = lookup(pairs, known, side, "_rows")
+        pairs = lookup(pairs, known, side, "_rows", most=LEAST_FREQUENT)  # sets of long texts are large
     return pairs
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabulore.llm.audio_fingerprint import align_all
 from tabulore.llm.common import is_held_out, table
-from tabulore.llm.exact_dedup import narrow_dedup
+from tabulore.llm.exact_dedup import exact_dedup
 from tabulore.llm import language_id, quality
 from tabulore.llm.mixing import mix
 from tabulore.llm.packing import pack
@@ -68,7 +68,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = narrow_dedup(table(spark, sf_dir, "documents"))
+    decided = exact_dedup(table(spark, sf_dir, "documents"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

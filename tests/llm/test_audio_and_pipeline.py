@@ -1,13 +1,16 @@
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tabulore.llm import audio_fingerprint as audio
-from tabulore.llm.exact_dedup import narrow_dedup
-from tabulore.llm.simhash import simhash_groups
+from tabulore.llm.queries import TOKENIZER
+from tests.llm.test_near_copies import kept_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,13 +105,36 @@ def test_pipeline_stages(spark, tmp_path):
     language, exact, near, mixed, packed = kept
     gone = {r.doc_id for r in before} - {r.doc_id for r in language.collect()}
     assert {9001, 9002, 9003} <= gone and len(gone) <= 0.02 * len(before) + 3
-    want = Counter((r.doc_id,) for r in narrow_dedup(language).filter("kept").collect())
-    assert Counter((r.doc_id,) for r in exact.collect()) == want
-    groups = {r.doc_id: r.component_id for r in simhash_groups(exact).collect()}
-    assert sorted(r.doc_id for r in near.collect()) == sorted(d for d, c in groups.items() if d == c)
+    said = {r.doc_id: r.lang for r in before}
+    assert sum(r.lang == said[r.doc_id] for r in language.collect() if said[r.doc_id]) >= 0.97 * language.count()
+    best = {}
+    for r in language.collect():
+        key, rank = re.sub(r"[\x20\x09-\x0D]+", "", r.text), (-len(r.text), r.doc_id)
+        best[key] = min(best.get(key, rank), rank)
+    assert sorted(r.doc_id for r in exact.collect()) == sorted(d for _, d in best.values())
+    assert Counter(r.doc_id for r in near.collect()) == kept_by_brute_force([(r.doc_id, r.text) for r in exact.collect()])
+    rows = {r.doc_id: r for r in near.collect()}
     n = Counter(r.doc_id for r in mixed.collect())
     assert max(n.values()) <= 3 and len(n) > 0.5 * near.count()
-    assert packed.groupBy("doc_id", "start").count().count() > 0
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    sources = sorted({r.source for r in rows.values()}, key=lambda s: (s is None, s))
+    sizes = [sum(size(r) for r in rows.values() if r.source == s) for s in sources]
+    total, aims, free = sum(sizes), {}, set(range(len(sources)))
+    while free:  # shares by weight; what is over three times a source is shared again
+        rest = total - sum(aims.values())
+        share = {i: rest * (5, 2, 1)[i % 3] / sum((5, 2, 1)[j % 3] for j in free) for i in free}
+        over = {i for i in free if share[i] > 3 * sizes[i]}
+        aims |= {i: 3 * sizes[i] for i in over} if over else share
+        free = free - over if over else set()
+    for i, s in enumerate(sources):
+        taken = sum(size(rows[d]) * k for d, k in n.items() if rows[d].source == s)
+        assert abs(taken - aims[i]) <= max(size(r) for r in rows.values()) and taken == pytest.approx(aims[i], rel=0.05, abs=500)
+    library, pieces = Tokenizer.from_file(TOKENIZER), defaultdict(list)
+    for r in packed.collect():
+        ids = np.array([*library.encode(rows[r.doc_id].text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        pieces[r.doc_id] += range(r.start, r.start + r.length)
+    assert {d: Counter(p) for d, p in pieces.items()} == {d: Counter(dict.fromkeys(range(len(set(pieces[d]))), k)) for d, k in n.items()}
     assert {d: t for d, t in packed.groupBy("doc_id").agg(F.count(F.when(F.col("start") == 0, 1))).collect()} == dict(n)
 
 
@@ -116,3 +142,24 @@ def test_pipeline_stages(spark, tmp_path):
 def test_stages_of_an_empty_table(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[stage][1](spark, docs, SF).count() == 0
+
+
+def test_mixing_goes_by_row(spark):
+    """Rows that share an id have copies of their own; rows that repeat id and text share theirs."""
+    rows = [(1, "a b c", "s"), (1, "other words here and there", "s"), (2, "x", "t"), (2, "x", "t"), (2, "x", "t"), (None, "no id", None), (3, None, "s")]
+    rows += [(i, "w " * (i % 9), "s") for i in range(10, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    total, size = Counter(), Counter()
+    for d, t, s in rows:
+        total[s] += len((t or "").split())
+    for r in got:
+        size[r.source] += len((r.text or "").split())
+    assert max(Counter((r.doc_id, r.text) for r in got if r.doc_id == 1).values()) <= 3 and size["t"] == 3 * 3 and size[None] == 3 * 2
+    assert abs(size["s"] - (sum(total.values()) - 9 - 6)) <= 9
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    got = corpus_pipeline.run(spark, SF)
+    folder = got.select("doc_id").inputFiles()[0].rsplit("/", 2)[0].replace("file://", "")
+    assert got.count() > 0 and sorted(p.name for p in __import__("pathlib").Path(folder).iterdir()) == ["mixing"]

@@ -166,3 +166,92 @@ def test_domains(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)], "h string")
     suffix = suffix_of(F.col("h"), ("co.uk",))
     assert [tuple(r) for r in hosts.select(suffix, domain_of(F.col("h"), suffix)).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "com"), ("", "")]
+
+
+def test_mix_deals_a_repeated_id_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    rows = [(7, "w " * (i % 3), "a") for i in range(400)] + [(None, "n n", "a")] * 200 + [(1000 + i, "w " * (i % 40), "ab"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    units = mixing.numbered(docs.selectExpr("cast(doc_id as string) id", "0 source", "cast(size(split(text, ' ')) as long) size", "0.5D chance")).collect()
+    assert len(units) == len(rows) and len({(r.id, r.size, r.copy) for r in units if r.id in (None, "7")}) == 600
+    got = mixing.mix(docs).collect()
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    aims = dict(zip(size.values(), mixing.targets(list(size.values()), [5, 2], 3)))
+    taken = {n: sum(r.copies * r.size for r in got if r.source_size == n) for n in aims}
+    assert len(got) == len(rows) and all(abs(taken[n] - aims[n]) <= 60 for n in aims)
+    key = lambda rows: sorted((r.doc_id is None, r.doc_id, r.size, r.copies) for r in rows)
+    assert key(mixing.mix(docs.repartition(9)).collect()) == key(got)
+
+
+def slow_features(text):
+    data = text.encode()
+    kinds = [0] * 7
+    for b in data:
+        c = chr(b)
+        if b >= 128:
+            kinds[6] += 1
+        elif c.islower():
+            kinds[0] += 1
+        elif c.isupper():
+            kinds[1] += 1
+        elif c.isdigit():
+            kinds[2] += 1
+        elif c in " \t\n\x0b\x0c\r":
+            kinds[3] += 1
+        elif c in ".,;:'\"()-":
+            kinds[4] += 1
+        else:
+            kinds[5] += 1
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n, seen = max(1, len(words)), max(1, len(data) - kinds[3])
+    sizes = [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    ratios = [kinds[1] / max(1, kinds[0] + kinds[1]), kinds[2] / seen, kinds[4] / seen, kinds[5] / seen, kinds[6] / seen, max((words.count(w) for w in words), default=0) / n, sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / n]
+    ratios += [1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(words)) / n, sum(x <= 3 for x in sizes) / len(sizes), sum(x > 15 for x in sizes) / len(sizes), kinds[5] / n, text.count(".") / n, len(lines) / n]
+    spread = (sum((x - mean) ** 2 for x in sizes) / len(sizes)) ** 0.5
+    return ratios + [r**0.5 for r in ratios] + [np.log(1 + len(words)), mean, spread, len(set(words)) / n**0.8, np.log(1 + len(text) / max(1, len(lines))), float(not words)]
+
+
+def test_features_match_brute_force():
+    texts = ["", " \n", "One two two.\nTHREE; 4 five\nOne two two.", "Ünïcödé $$$ ###", "word " * 500, "a" * 10_000, "x\ty\x0bz (q) 'r'"]
+    for text in texts:
+        assert quality.features(text) == pytest.approx(slow_features(text), rel=1e-9, abs=1e-12)
+
+
+def test_weights_match_gradient_descent():
+    """The same pairs and the same loss, descended by plain gradients."""
+    draw = np.random.default_rng(3)
+    good, bad = (draw.normal(m, 1, (60, quality.N_FEATURES)) for m in (0.2, 0.0))
+    model = quality.bradley_terry(good, bad, pairs=400, ridge=0.05, seed=5)
+    again = np.random.default_rng(5)
+    pairs = [(good[i], bad[j]) for i, j in zip(again.integers(60, size=400), again.integers(60, size=400))]
+    w = np.zeros(quality.N_FEATURES)
+    for _ in range(6000):
+        slope = -0.05 * w
+        d = np.array([(a - b) / model.scale for a, b in pairs])
+        slope += (d / (1 + np.exp(d @ w))[:, None]).mean(axis=0)
+        w += 0.3 * slope
+    assert model.weights == pytest.approx(w, abs=1e-3)
+    raw = sorted(((np.vstack([good, bad]) - model.mean) / model.scale) @ w)
+    assert raw[58] - 1e-2 <= model.threshold <= raw[61] + 1e-2
+
+
+def test_op5_scores_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for r in quality.quality(docs, model).collect():
+        raw = sum((x - m) / s * w for x, m, s, w in zip(slow_features(r.text or ""), model.mean, model.scale, model.weights)) - model.threshold
+        assert r.score == pytest.approx(1 / (1 + np.exp(-max(-50, min(50, raw + np.log(quality.CUT / (1 - quality.CUT)))))), rel=1e-6)
+
+
+def test_language_counts_ties_and_repeats(spark):
+    rows = [(1, "aa", "x"), (2, "aa", "y"), (2, "aa", "y"), (3, "bb", "x"), (4, "bb", "y"), (4, "bb", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("mine"), "score": F.lit("s")})
+    model = language_id.train(docs)
+    got = language_id.language_id(docs, model).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= {"x", "y"} and all(0 <= r.score <= 1 for r in got)
+    assert len({(r.lang_pred, r.score) for r in got if r.text == "aa"}) == 1
+    one = spark.createDataFrame([(1, "qq", "x"), (2, "qq", "y")], "doc_id long, text string, lang string")
+    tied = language_id.language_id(one, language_id.train(one)).collect()
+    assert {r.lang_pred for r in tied} == {"x"} and all(r.score == pytest.approx(0.5) for r in tied)
+    assert language_id.language_id(docs.limit(0), model).count() == 0

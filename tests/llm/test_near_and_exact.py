@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulore.llm import common, simhash
 from tabulore.llm.common import lookup
 from tabulore.llm.components import components
-from tabulore.llm.exact_dedup import exact_dedup, narrow_dedup
+from tabulore.llm.exact_dedup import drop_copies, exact_dedup
 from tabulore.llm.simhash import simhash_groups
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -103,7 +103,7 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
 
 
 def test_lookup_splits_frequent_keys(spark, monkeypatch):
-    monkeypatch.setattr(common, "FREQUENT_ONE_IN", 4)
+    monkeypatch.setattr(common, "LEAST_FREQUENT", 4)
     big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)] + [(99, "none")], "i long, k string")
     small = big.filter("k <> 'none'").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("v"))
     got = lookup(big, small, "k", "n").collect()
@@ -126,16 +126,32 @@ def exact_brute_force(rows):
 def test_exact_dedup(spark, one_in, monkeypatch):
     import tabulore.llm.exact_dedup as module
 
-    monkeypatch.setattr(module, "FREQUENT_ONE_IN", one_in)
+    monkeypatch.setattr(common, "LEAST_FREQUENT", one_in)
     rows = [(i, "hot te xt" + " " * (i % 5)) for i in range(40)] + [(100, None), (101, ""), (102, " \x0b"), (103, "\x1c"), (104, "é  a"), (105, "éa"), (None, "é a"), (None, "alone")]
     rows += [(200, "same"), (200, "same"), (4, "hot te xt    "), (4, "hot te xt    "), (201, "x" * 100_000), (202, "x" * 100_000 + "\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = narrow_dedup(docs).collect()
+    got = exact_dedup(docs).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest)) for r in got) == exact_brute_force(rows)
     heavy = {bytes(r.digest): r.group_size for r in module.heavy_winners(docs.select(F.unhex(F.sha2(module.normalised(F.col("text")), 256)).alias("digest"), F.struct(F.lit(0)).alias("rank"))).collect()}
     assert max(heavy.values()) == 42
-    clash = docs.withColumns({"kept": F.lit("mine"), "digest": F.lit(1), "other": F.col("doc_id") * 2})
-    full = exact_dedup(clash)
-    assert full.columns == ["doc_id", "text", "other", "keep_id", "group_size", "kept", "digest"]
-    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest)) for r in full.collect()) == exact_brute_force(rows)
+    clash = docs.withColumns({"kept": F.lit("mine"), "digest": F.lit(1), "other": F.col("doc_id") * 2, "_id": F.lit(3)})
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest)) for r in exact_dedup(clash).collect()) == exact_brute_force(rows)
     assert exact_dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_copies_are_dropped_by_row(spark, few, monkeypatch):
+    """Rows that share an id are judged by their own texts; of rows that repeat everything one stays."""
+    import tabulore.llm.exact_dedup as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    rows = [(3, "A"), (7, " A"), (7, "other text"), (8, "A"), (9, "twice"), (9, "twice"), (9, "twi ce"), (10, "twice"), (None, "no id"), (None, "no id"), (11, None), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit("x")).repartition(4)
+    got = drop_copies(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(7, " A"), (7, "other text"), (9, "twi ce"), (None, "no id"), (11, None)])
+    assert drop_copies(docs.limit(0)).count() == 0
+
+
+def test_what_is_frequent_follows_the_rows():
+    assert [common.frequent_one_in(n) for n in (0, 10**6, 10**9, 5 * 10**10)] == [512, 512, 1000, 10_000]
