@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulore.llm import language_id
 from tabulore.llm.common import is_held_out, shared_dir, table
-from tabulore.llm.exact_dedup import exact_dedup
+from tabulore.llm.exact_dedup import drop_copies
 from tabulore.llm.mixing import mix
 from tabulore.llm.near_copies import drop_near
 from tabulore.llm.packing import pack
@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return exact_dedup(docs).filter("kept").select(docs.columns)
+    return drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +39,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Ids are those of documents: rows that repeat one get its copies alike."""
-    copies = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Every row as often as the mix takes it. Rows are told apart by id and text; those that repeat both share what is taken of them."""
+    key = F.md5(F.to_json(F.struct("doc_id", "text"), {"ignoreNullFields": "false"}))
+    mixed = mix(docs.select(key.alias("_key"), "text", "source"), id_col="_key").groupBy("_key").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    rows = docs.withColumn("_own", key).join(mixed, F.col("_own") == F.col("_key"))
+    alone = rows.filter("_rows = 1").withColumn("_at", F.lit(1))
+    again = rows.filter("_rows > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0))))
+    copies = F.floor(F.col("_sum") / F.col("_rows")) + (F.col("_at") <= F.col("_sum") % F.col("_rows")).cast("int")
+    taken = alone.unionByName(again).withColumn("_n", copies.cast("int")).filter("_n > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each but the last written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages one after the other over documents, each but the last written to the shared folder and read again. What a
+    stage has read goes when its result is written."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
