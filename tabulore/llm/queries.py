@@ -103,18 +103,21 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST ROWS BE
 def _level_sql(name: str, rows: str) -> str:
     """Rows (n, bad, prior) with the prior's strength s."""
     rho = "(sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0)"
-    return f"{name} AS (SELECT r.*, s FROM ({rows}) r, (SELECT 1 / least(greatest(coalesce({rho}, 0), 1e-4), 0.5) - 1 AS s FROM ({rows})))"
+    return f"{name} AS (SELECT r.*, s FROM ({rows}) r, (SELECT 1 / least(greatest(coalesce({rho}, 0), 1e-4), 0.5) - 1 AS s FROM ({rows}) WHERE n > 0))"
 
 
+_TWO_LABELS = "'ac.uk', 'co.uk', 'gov.uk', 'ltd.uk', 'me.uk', 'net.uk', 'nhs.uk', 'org.uk', 'plc.uk', 'sch.uk', 'com.au', 'edu.au', 'gov.au', 'net.au', 'org.au', 'co.nz', 'govt.nz', 'net.nz', 'org.nz', 'co.za', 'org.za', 'ac.jp', 'co.jp', 'go.jp', 'ne.jp', 'or.jp', 'co.kr', 'or.kr', 'com.cn', 'edu.cn', 'gov.cn', 'net.cn', 'org.cn', 'com.hk', 'com.sg', 'com.tw', 'ac.in', 'co.in', 'gov.in', 'net.in', 'org.in', 'com.br', 'gov.br', 'net.br', 'org.br', 'com.ar', 'com.mx', 'com.co', 'com.tr', 'com.ua', 'com.pl', 'co.il', 'co.id', 'co.th'"
 _FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))]
 OP1_SQL = f"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), h AS (
   SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u), r AS (
-  SELECT *, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for fits, rule, _ in _FITS)} END AS rule, CASE {" ".join(f"WHEN {fits} THEN '{says}'" for fits, _, says in _FITS)} END AS says FROM h), hosts AS (
-  SELECT host, split_part(host, '.', -1) AS suffix,
-    CASE WHEN len(string_split(host, '.')) <= 2 THEN host ELSE split_part(host, '.', -2) || '.' || split_part(host, '.', -1) END AS domain,
-    count(*) AS n, count_if(says = 'block') AS bad FROM r GROUP BY host), domains AS (
+  SELECT *, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for fits, rule, _ in _FITS)} END AS rule, CASE {" ".join(f"WHEN {fits} THEN '{says}'" for fits, _, says in _FITS)} END AS says FROM h), servers AS (
+  SELECT host, regexp_replace(regexp_replace(host, '^[^\\[]*@', ''), ':[0-9]*$', '') AS server, count(*) AS n, count_if(says = 'block') AS bad FROM r GROUP BY host), labels AS (
+  SELECT *, string_split(server, '.') AS l, regexp_full_match(server, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') OR starts_with(server, '[') AS ip FROM servers), hosts AS (
+  SELECT host, n, bad, CASE WHEN ip THEN server WHEN len(l) >= 2 AND (l[-2] || '.' || l[-1]) IN ({_TWO_LABELS}) THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS suffix,
+    CASE WHEN ip THEN server WHEN len(l) > 2 AND (l[-2] || '.' || l[-1]) IN ({_TWO_LABELS}) THEN l[-3] || '.' || l[-2] || '.' || l[-1]
+      WHEN len(l) > 2 THEN l[-2] || '.' || l[-1] ELSE server END AS domain FROM labels), domains AS (
   SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL), tops AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM domains) AS prior FROM domains GROUP BY suffix),
 {_level_sql("t", "SELECT * FROM tops")},

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulore.llm import language_id, mixing, quality
 from tabulore.llm.queries import URL_RULES, queries
-from tabulore.llm.url_filter import domain_of, suffix_of, url_filter
+from tabulore.llm.url_filter import domain_of, server_of, suffix_of, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -163,9 +163,18 @@ def test_reputation_shrinks_and_filters(spark):
 
 
 def test_domains(spark):
-    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)], "h string")
-    suffix = suffix_of(F.col("h"), ("co.uk",))
-    assert [tuple(r) for r in hosts.select(suffix, domain_of(F.col("h"), suffix)).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "com"), ("", "")]
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",), ("10.0.0.1",), ("u:p@a.com:8080",), ("[::1]:80",), ("v.net.uk",), ("1.2.3.4.5",)], "h string")
+    server = server_of(F.col("h"))
+    suffix = suffix_of(server)
+    want = [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "com"), ("", ""), ("10.0.0.1", "10.0.0.1"), ("com", "a.com"), ("[::1]", "[::1]"), ("net.uk", "v.net.uk"), ("5", "4.5")]
+    assert [tuple(r) for r in hosts.select(suffix, domain_of(server, suffix)).collect()] == want
+
+
+def test_given_outcomes_may_be_missing(spark):
+    """Pages with a null outcome are no trials: the labelled ones of a host decide over them."""
+    rows = [(f"http://h{k}.bad.net/{i}", 1) for k in range(3) for i in range(30)] + [("http://h1.bad.net/other", None)] * 500 + [(f"http://h.good.com/{i}", 0) for i in range(50)]
+    got = {r.host: r.verdict for r in url_filter(spark.createDataFrame(rows, "url string, outcome int"), [], bad=F.col("outcome")).collect()}
+    assert got == {"h0.bad.net": "block", "h1.bad.net": "block", "h2.bad.net": "block", "h.good.com": "allow"}
 
 
 def test_mix_deals_a_repeated_id_over_blocks(spark, monkeypatch):
