@@ -231,7 +231,7 @@ FORMATS: dict[str, tuple[str, Callable[[list[Row]], bytes], dict, SAID, int | No
     "read_npz": ("t.npz", lambda r: saved(np.savez, rows=array(r)), {}, [ID, NAME, ZIP, WHOLE_BALANCE, OK], None),
     "read_xlsx": ("t.xlsx", xlsx, {}, naive([ID, NAME, ZIP, WHOLE_BALANCE, OK, NOTE, DAY]), None),
     "read_sqlite": ("t.sqlite", database, {}, [ID, NAME, ZIP, WHOLE_BALANCE, ("ok", "i64", "CAST(CAST(ok AS INTEGER) AS VARCHAR)"), NOTE, DAY], None),
-    "read_dbase": ("t.dbf", dbase, {}, [("ID", "f64", ID[2]), ("NAME", "String", "name"), ("ZIP", "String", "zip"), ("OK", "bool", OK[2]), ("NOTE", "String", "note"), ("DAY", "Date", DAY[2])], None),
+    "read_dbase": ("t.dbf", dbase, {}, [("ID", "f64", ID[2]), ("NAME", "String", "name"), ("ZIP", "String", "zip"), ("OK", "bool", OK[2]), ("NOTE", "String", "note"), ("DAY", "Date", "strftime(day, '%Y%m%d')")], None),
     "read_stata": ("t.dta", stata, {}, [ID, NAME, ZIP, WHOLE_BALANCE, NOTE], None),
 }
 

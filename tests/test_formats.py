@@ -374,3 +374,57 @@ def test_frame(spark, tmp_path):
     (tmp_path / "people.csv").write_text(CSV)
     got = profile(spark, str(tmp_path / "people.csv"))
     assert got.columns == ["table_name", "col_ord", "name", "current_type", "ideal_type", "description", "missing_pct", "sample_values", "notes"] and got.count() == 7
+
+
+def test_line_numbers_count_over_parts(spark, held):
+    line = '10.0.0.1 - bob [10/Oct/2000:13:55:36 -0700] "GET /a HTTP/1.0" 200 12\n'
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for at in (3, 4567, 9001):
+            data = "".join("broken\n" if i == at else "\n" if i % 1000 == 0 else line for i in range(1, 9002))
+            with pytest.raises(ValueError, match=rf"^line {at} doesn't match Common Log Format: broken"):
+                held("a.log", data, fmt="common-log")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_an_array_behind_many_blank_lines(held):
+    assert held("a.json", "\n" * 3000 + '  [{"a": 1},\n {"a": 2}]')["a"]["a"]["sample_values"] == ["1", "2"]
+
+
+def test_avro_stops_at_nrows(held):
+    assert held("r.avro", avro_file("null") + b"broken", nrows=2)["r"]["id"]["sample_values"] == ["a", "b"]
+    assert held("r.avro", avro_file("null") + b"broken", nrows=1)["r"]["id"]["sample_values"] == ["a"]
+    with pytest.raises(Exception):
+        held("r.avro", avro_file("null") + b"broken", nrows=3)
+
+
+def test_sas_values():
+    assert [tables.sas_kind(True, f) for f in ("DATE9", "DATETIME20.", "TIME8", "BEST12", "", "MMDDYY10", "hhmm5")] == ["Date", "Timestamp", "Time", "f64", "f64", "Date", "Time"]
+    assert tables.sas_kind(False, "DATE9") == "String"
+    assert tables.sas_text(0.0, "Date") == "1960-01-01" and tables.sas_text(23390.0, "Date") == "2024-01-15" and tables.sas_text(-1.0, "Date") == "1959-12-31"
+    assert tables.sas_text(86399.0, "Time") == "23:59:59" and tables.sas_text(90000.0, "Time") == "00:00:00" and tables.sas_text(1e9, "Timestamp") == "1991-09-09 01:46:40"
+    assert tables.sas_text(float("nan"), "Date") is None and tables.sas_text(" ", "String") is None and tables.sas_text(2.0, "f64") == "2"
+
+
+def test_samples_of_long_runs_send_little(spark, monkeypatch):
+    """A sorted column whose first values fill thousands of rows: its samples come from later stretches, a few rows each."""
+    from tabulore.operators import profile as module
+    from tabulore.operators.leaves import column_leaves
+
+    rows = spark.range(30_000).selectExpr("id AS rec", "array(CASE WHEN id < 9000 THEN 'a' WHEN id < 18000 THEN 'b' WHEN id < 27000 THEN 'c' ELSE cast(id AS string) END, cast(id AS string)) AS values")
+    sent, collect = [], type(rows).collect
+
+    def counted(self):
+        found = collect(self)
+        sent.append(len(found))
+        return found
+
+    monkeypatch.setattr(type(rows), "collect", counted)
+    stats = module.value_stats(column_leaves("t", rows), 4)
+    monkeypatch.undo()
+    assert stats[("t", "0", False)].samples == ["a", "b", "c", "27000"] and stats[("t", "1", False)].samples == ["0", "1", "2", "3"]
+    assert len(sent) >= 3 and max(sent) <= 8
