@@ -5,7 +5,8 @@ every document is taken, the rest the probability with which it is taken once mo
 the probabilities of three documents move along the null space of the constraints, (sizes, ones), until one of them is
 0 or 1, so a source's totals of words and documents stay as they are. A source is cut into blocks of about BLOCK
 documents by a hash of the id; a block leaves at most two documents undecided; they are gathered into blocks again,
-until a source has one block. Only its last two, the landing problem, are rounded, to the nearest total of words.
+until a source has one block. There the flight stops before the last LANDING documents, whose sizes halve from one to the next; these
+and the at most two still open are the landing problem: of all their roundings the one nearest to the total of words is taken.
 
 The draw depends on ids, sizes and the seed alone, so reruns agree, however the table is partitioned. Rows that repeat an
 id are alike but for their sizes; those of an id with over BLOCK rows are counted by size and numbered, and so
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabulore.llm.common import LEAST_FREQUENT, cut, in_groups
 
-BLOCK, EPSILON = 20_000, 1e-9
+BLOCK, LANDING, EPSILON = 20_000, 12, 1e-9
 
 
 def word_count(text: Column) -> Column:
@@ -51,10 +52,12 @@ def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
     return out
 
 
-def flight(sizes: list[float], chances: list[float], draw: random.Random) -> list[float]:
-    """The chances after the flight phase: all 0 or 1 but two at most."""
+def flight(sizes: list[float], chances: list[float], draw: random.Random, leave: int = 0) -> list[float]:
+    """The chances after the flight phase: all 0 or 1 but two at most, and the last `leave` that were open."""
     out, active = list(chances), []
-    for i, chance in enumerate(chances):
+    left = [i for i, c in enumerate(chances) if EPSILON < c < 1 - EPSILON]
+    left = left[len(left) - min(leave, len(left)) :]
+    for i, chance in enumerate(chances[: left[0]] if left else chances):
         if EPSILON < chance < 1 - EPSILON:
             active.append(i)
         else:
@@ -76,17 +79,29 @@ def flight(sizes: list[float], chances: list[float], draw: random.Random) -> lis
     return out
 
 
+def landing_last(sizes: np.ndarray) -> np.ndarray:
+    """An order of documents: at its end LANDING of them at most, the largest no longer than half of the longest, the next no
+    longer than a quarter, and so on, so that some of them make up for any total."""
+    order, last = np.argsort(-sizes, kind="stable"), []
+    for k in range(1, LANDING + 1 if len(sizes) else 1):
+        at = max(int(np.searchsorted(-sizes[order], -sizes.max() / 2**k)), last[-1] + 1 if last else 0)
+        if at >= len(order):
+            break
+        last.append(at)
+    return np.concatenate([np.delete(order, last), order[last]]).astype(np.int64)
+
+
 def land(sizes: list[float], chances: list[float], draw: random.Random) -> list[float]:
     """Whole numbers for the few that are left: the nearest total of sizes, then of documents, then a draw."""
     open_ = [i for i, c in enumerate(chances) if EPSILON < c < 1 - EPSILON]
-    best = None
-    for bits in range(1 << len(open_)):
-        pick = [(bits >> k) & 1 for k in range(len(open_))]
-        miss = abs(sum(sizes[i] * (p - chances[i]) for i, p in zip(open_, pick)))
-        found = (round(miss, 6), round(abs(sum(p - chances[i] for i, p in zip(open_, pick))), 6), draw.random(), pick)
-        best = found if best is None or found < best else best
+    picks = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    moved = picks - np.array([chances[i] for i in open_])
+    miss = np.round(np.abs(moved @ np.array([sizes[i] for i in open_])), 6)
+    documents = np.round(np.abs(moved.sum(axis=1)), 6)
+    best = np.flatnonzero(miss == miss.min())
+    best = best[documents[best] == documents[best].min()]
     out = list(chances)
-    for i, p in zip(open_, best[3]):
+    for i, p in zip(open_, picks[best[draw.randrange(len(best))]].tolist()):
         out[i] = float(p)
     return out
 
@@ -116,8 +131,10 @@ def draws(units: DataFrame, documents: dict[int, int], seed: int) -> DataFrame:
         def run(group: pd.DataFrame) -> pd.DataFrame:
             source, key = int(group["source"].iloc[0]), int(group["block"].iloc[0])
             draw = random.Random(f"{seed} {level} {key}")
+            if source in last:
+                group = group.iloc[landing_last(group["size"].to_numpy())]
             sizes = group["size"].astype(float).tolist()
-            chances = flight(sizes, group["chance"].tolist(), draw)
+            chances = flight(sizes, group["chance"].tolist(), draw, LANDING if source in last else 0)
             group = group.assign(chance=np.array(land(sizes, chances, draw) if source in last else chances))
             return group.drop(columns="block")
 
