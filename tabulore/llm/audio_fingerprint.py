@@ -270,7 +270,8 @@ def rows_and_matches(recordings: DataFrame, is_query: Column, id_col: str, media
     classes = cut(prints.filter(F.length("codes") > 0).groupBy("codes", "node").agg(F.min(asked).alias("first"), F.max(asked).alias("last")))
     found = cut(matches(classes, block_codes, nodes_a_task))
     some = classes.select("node", F.col("first").alias("class_id")).join(found.groupBy("node").agg(F.count("*").alias("n")), "node", "left")
-    return prints, some.join(found, "node", "left")
+    # kept, so that its join with the rows shuffles both sides, and AQE can split a class that many rows are of
+    return prints, cut(some.join(found, "node", "left"))
 
 
 def is_own() -> Column:
