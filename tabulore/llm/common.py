@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -9,11 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulore.plans.shared import shared_folder
 
+#: Where the C library has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: ASCII white space, as in the class [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: A key is frequent if one row in so many has it, so there are fewer frequent keys: between the two, such that others have
@@ -74,6 +78,24 @@ def lookup(big: DataFrame, small: DataFrame, key: str, count: str, most: int = M
     return met.unionByName(rest)
 
 
+def release() -> None:
+    """Give the memory that a Python worker no longer uses back to the machine; it would keep it for its next tasks, beside an
+    executor's heap that other stages have filled."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a task's function of batches, with what it used given back at its end."""
+
+    def each(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return each
+
+
 def by_key(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The groups of a partition that is sorted by key, one at a time."""
     held: list[pd.DataFrame] = []
@@ -100,4 +122,4 @@ def in_groups(df: DataFrame, key: str, order: list[str], run: Callable[[pd.DataF
         for group in by_key(batches, key):
             yield run(group)
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(each, schema)
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(releasing(each), schema)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulore.llm.common import release, releasing
+
 MAX_N, DIMS, SEGMENT = 3, 1 << 16, 1 << 19
 UNDETERMINED = "und"
 _lut: np.ndarray | None = None
@@ -130,7 +132,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         lang, bucket = np.nonzero(seen)
         yield pd.DataFrame({"lang": lang.astype(np.int32), "bucket": bucket.astype(np.int32), "n": seen[lang, bucket]})
 
-    counted = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang int, bucket int, n long")
+    counted = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(releasing(count), "lang int, bucket int, n long")
     seen = np.zeros((DIMS, k))
     got = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     seen[got["bucket"].to_numpy(), got["lang"].to_numpy()] = got["n"].to_numpy()
@@ -146,6 +148,7 @@ def predicted(model: Model, text: Column, spark) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def classify(texts: pd.Series) -> pd.DataFrame:
         langs, score = held.value.score(["" if t is None else t for t in texts])
+        release()
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
     # else a filter on the result would have every text classified once more

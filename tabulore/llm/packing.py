@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulore.llm.common import release
 from tabulore.llm.tokens import encoded, encoder, without_gc
 
 
@@ -98,6 +99,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         yield keys, ids, lengths
                         keys, ids, lengths, held = [], [], [], 0
             encoder(tokenizer_path).forget()
+            release()
         if keys:
             yield keys, ids, lengths
 

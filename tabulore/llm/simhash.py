@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import cut, lookup
+from tabulore.llm.common import cut, lookup, release, releasing
 from tabulore.llm.components import components
 
 PARTS, TILE, SEED = 4, 4096, 42
@@ -52,6 +52,7 @@ def fingerprints(text: Column, words: int = 3) -> Column:
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         found = np.array([0 if t is None else fingerprint(t, words) for t in texts], dtype=np.uint64)
+        release()
         return pd.Series(found.view(np.int64))
 
     return prints(text)
@@ -111,7 +112,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     away = dealt.select("fp", F.explode(F.array(*(F.col("cell") - F.lit(s) for s in steps(radius)))).alias("cell"))
     away = away.join(F.broadcast(sizes), "cell").select("fp", "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("meets"), F.lit(1).alias("guest"))
     meeting = at_home.unionByName(away).select("fp", "guest", (F.shiftleft("cell", 24) + F.col("meets")).alias("tile"))
-    return meeting.repartition("tile").sortWithinPartitions("tile", "guest").mapInPandas(lambda batches: compared(batches, radius), "src long, dst long")
+    return meeting.repartition("tile").sortWithinPartitions("tile", "guest").mapInPandas(releasing(lambda batches: compared(batches, radius)), "src long, dst long")
 
 
 def compared(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import shared_dir
+from tabulore.llm.common import release, shared_dir
 from tabulore.llm.tokens import encoded, encoder, without_gc
 
 MAGIC, BLOCK = b"S8BT\x01\0\0\0", 1024
@@ -234,6 +234,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
             for batch in batches:
                 yield from encoded(tokenizer_path, batch, end_id)
         encoder(tokenizer_path).forget()
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = next((b for b in batches if b.num_rows), None)

@@ -128,7 +128,7 @@ def test_pipeline_stages(spark, tmp_path):
         free = free - over if over else set()
     for i, s in enumerate(sources):
         taken = sum(size(rows[d]) * k for d, k in n.items() if rows[d].source == s)
-        assert abs(taken - aims[i]) <= max(size(r) for r in rows.values()) and taken == pytest.approx(aims[i], rel=0.05, abs=500)
+        assert taken == pytest.approx(aims[i], rel=0.05, abs=100)  # of ten documents each
     library, pieces = Tokenizer.from_file(TOKENIZER), defaultdict(list)
     for r in packed.collect():
         ids = np.array([*library.encode(rows[r.doc_id].text, add_special_tokens=False).ids, 0], dtype="<u4")
