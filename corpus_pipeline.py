@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulore.llm import language_id
-from tabulore.llm.common import is_held_out, shared_dir, table
+from tabulore.llm.common import cut, is_held_out, shared_dir, table
 from tabulore.llm.exact_dedup import drop_copies
 from tabulore.llm.mixing import mix
 from tabulore.llm.near_copies import drop_near
@@ -42,11 +42,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it. Rows are told apart by id and text; those that repeat both share what is taken of them."""
     key = F.md5(F.to_json(F.struct("doc_id", "text"), {"ignoreNullFields": "false"}))
     mixed = mix(docs.select(key.alias("_key"), "text", "source"), id_col="_key").groupBy("_key").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    mixed = cut(mixed)
     rows = docs.withColumn("_own", key).join(mixed, F.col("_own") == F.col("_key"))
-    alone = rows.filter("_rows = 1").withColumn("_at", F.lit(1))
-    again = rows.filter("_rows > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0))))
+    repeated = not mixed.filter("_rows > 1").isEmpty()
+    at = F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0))) if repeated else F.lit(1)
+    rows = rows.withColumn("_at", at)
     copies = F.floor(F.col("_sum") / F.col("_rows")) + (F.col("_at") <= F.col("_sum") % F.col("_rows")).cast("int")
-    taken = alone.unionByName(again).withColumn("_n", copies.cast("int")).filter("_n > 0")
+    taken = rows.withColumn("_n", copies.cast("int")).filter("_n > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
 
 
