@@ -128,7 +128,7 @@ def table_leaves(table: str, header: list[str], types: list[str] | None, rows: I
     yield frame(held)
 
 
-def spread(df: DataFrame, rec: str = "rec", least: int = 4 << 20) -> DataFrame:
+def spread(df: DataFrame, rec: str = "rec", least: int = 1 << 20) -> DataFrame:
     """A scan of one large file that can't be split, dealt to all cores by rec before anything expensive."""
     plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
     adapts = "AdaptiveSparkPlan" in plan.executedPlan().toString()  # it shuffles already, and counting its partitions would run it
