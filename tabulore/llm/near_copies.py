@@ -1,7 +1,7 @@
 """Near copies by exact similarity: texts whose sets of word shingles have a Jaccard similarity of SHARE or more.
 
-Pairs come from two sides. SimHash groups (simhash.py, of shingles of WORDS words) give each text the first one of its
-group; fingerprints promise no similarity, so such a pair is a link only once it is counted. What fingerprints miss is found
+Pairs come from two sides. SimHash (simhash.py, of shingles of WORDS words) links fingerprints that differ in few bits, by
+tiles; fingerprints promise no similarity, so such a pair is a link only once it is counted. What fingerprints miss is found
 by prefixes: two sets of a and b shingles are that similar only if they share 4/5 of the larger one. So in any one order of all
 shingles, each set's first n - ceil(4n/5) + 1, its prefix, hold a shingle of the other's prefix: no pair is lost. The
 order is that of the hashes, with shingles that a bounded sample shows to be common last, so that few texts meet at
@@ -27,15 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulore.llm.common import LEAST_FREQUENT, cut, lookup, written
+from tabulore.llm.common import cut, releasing, written
 from tabulore.llm.components import components
-from tabulore.llm.simhash import simhash_groups
+from tabulore.llm.simhash import fingerprints, links
 
 WORDS, CROWD = 5, 64
 #: SHARE = PART / WHOLE, so that comparisons are of whole numbers.
 PART, WHOLE = 4, 5
 #: Texts of the sample, in how many of them a shingle is common, and how many common ones are told apart.
-SAMPLE, COMMON, MOST = 10_000, 3, 1 << 17
+SAMPLE, COMMON, MOST = 50_000, 3, 1 << 17
 #: Rows of numbers that may be broadcast.
 FEW = 1 << 20
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -77,11 +77,11 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["token"])
 
-    counted = taken.select("text").mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= COMMON)
-    rows = counted.orderBy(F.desc("count"), "token").limit(MOST).collect()
-    tokens = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
+    counted = taken.select("text").mapInArrow(releasing(run), "token long").groupBy("token").count().filter(F.col("count") >= COMMON)
+    rows = counted.orderBy(F.desc("count"), "token").limit(MOST).select("token").toArrow()
+    tokens = rows.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], (len(rows) - np.arange(len(rows)))[order]
+    return tokens[order], (len(tokens) - np.arange(len(tokens)))[order]
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def prefixes(texts: DataFrame) -> DataFrame:
                 columns = [np.concatenate(out).view(np.int64), np.repeat(nodes, some), np.repeat(sizes, some).astype(np.int32), places.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "place"])
 
-    return texts.select("node", "text").mapInArrow(run, "token long, node long, n int, place int")
+    return texts.select("node", "text").mapInArrow(releasing(run), "token long, node long, n int, place int")
 
 
 def may_link(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -213,12 +213,9 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def met_with(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """node, other, with what is held of each as mine_ and theirs_; nodes with very many pairs meet theirs by broadcast."""
-    values = [c for c in held.columns if c != "node"]
+    """node, other, with what is held of each as mine_ and theirs_. A node with very many pairs is a skewed join, which AQE splits."""
     for side, prefix in (("node", "mine_"), ("other", "theirs_")):
-        counts = pairs.groupBy(side).agg(F.count("*").alias("_rows"))
-        known = cut(counts.join(held.select(F.col("node").alias(side), *(F.col(c).alias(prefix + c) for c in values)), side))
-        pairs = lookup(pairs, known, side, "_rows", most=LEAST_FREQUENT)  # sets of long texts are large
+        pairs = pairs.join(held.select(F.col("node").alias(side), *(F.col(c).alias(prefix + c) for c in held.columns if c != "node")), side)
     return pairs
 
 
@@ -228,7 +225,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def of_texts(pairs: DataFrame, run: Callable, schema: str) -> DataFrame:
         nodes = few(pairs.select("node").union(pairs.select("other")).distinct())
-        return cut(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"]))
+        return cut(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(releasing(run), schema).dropDuplicates(["node"]))
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,28 +255,33 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([src, dst], names=["src", "dst"]).filter(pa.array(links, pa.bool_()))
 
     first = met_with(pairs, of_texts(pairs, sketches, "node long, n long, bits binary"))
-    rest = cut(first.select("node", "other", "mine_n", "mine_bits", "theirs_n", "theirs_bits").mapInArrow(allowed, "node long, other long"))
+    rest = cut(first.select("node", "other", "mine_n", "mine_bits", "theirs_n", "theirs_bits").mapInArrow(releasing(allowed), "node long, other long"))
     both = met_with(rest, of_texts(rest, sets, "node long, held binary"))
-    return cut(both.select("node", "other", "mine_held", "theirs_held").mapInArrow(counted, "src long, dst long"))
+    return cut(both.select("node", "other", "mine_held", "theirs_held").mapInArrow(releasing(counted), "src long, dst long"))
 
 
 def by_fingerprint(texts: DataFrame, radius: int = 2) -> DataFrame:
-    """node, other: each text and the first of its SimHash group."""
-    groups = simhash_groups(texts.select("node", "text"), "node", radius=radius, words=WORDS)
-    return groups.select("node", F.col("component_id").alias("other"))
+    """node, other: texts of one fingerprint, each with the first of them, and the first ones of fingerprints that SimHash links."""
+    prints = cut(texts.select("node", fingerprints(F.col("text"), WORDS).alias("fp")).distinct())
+    first = cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    linked = links(first.select("fp"), radius)
+    for side in ("src", "dst"):
+        linked = linked.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
+    same = prints.join(first, "fp").select("node", F.col("first").alias("other"))
+    return same.unionByName(linked.select(F.col("src_node").alias("node"), F.col("dst_node").alias("other")))
 
 
 def near_links(texts: DataFrame) -> DataFrame:
     """src, dst: nodes whose components are those of all pairs of texts as similar as SHARE. texts: node, text."""
     dealt = prefixes(texts).repartition("token").sortWithinPartitions("token", "node")
-    found = written(dealt.mapInPandas(met, "token long, node long, n int, place int, other long"))
-    links = similar(found.filter("token is null").select("node", "other").unionByName(by_fingerprint(texts)), texts)
+    found = written(dealt.mapInPandas(releasing(met), "token long, node long, n int, place int, other long"))
+    near = similar(found.filter("token is null").select("node", "other").unionByName(by_fingerprint(texts)), texts)
     crowds = found.filter("token is not null").select("token", "node", "n", "place")
     if crowds.isEmpty():
-        return links
-    labelled = crowds.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = labelled.repartition("token").sortWithinPartitions("token", "node").mapInPandas(apart, "node long, other long")
-    return links.unionByName(similar(rest, texts))
+        return near
+    labelled = crowds.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = labelled.repartition("token").sortWithinPartitions("token", "node").mapInPandas(releasing(apart), "node long, other long")
+    return near.unionByName(similar(rest, texts))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

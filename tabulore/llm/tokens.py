@@ -222,7 +222,7 @@ def without_gc() -> Iterator[None]:
             gc.enable()
 
 
-def encoded(path: str, batch: pa.RecordBatch, end_id: int, size: int = 1 << 23) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def encoded(path: str, batch: pa.RecordBatch, end_id: int, size: int = 1 << 21) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Of a batch (id, text), in parts of about so many bytes: ids of documents, token ids with end_id after each
     text, and the number of each text's."""
     texts = batch.column(1).cast(pa.large_string())
